@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .chat import op5_chat
+from .decontaminate import op9_decontamination
+from .langid import op10_langid
+from .ngram_join import op7_ngram_join
 from .oracles import CHAT, PII, QUALITY
 from .pii import op1_pii
 from .quality import STOP_WORDS, op6_quality
@@ -16,7 +19,10 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
+    "op7_ngram_join": op7_ngram_join,
     "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
+    "op10_langid": op10_langid,
 }
 
 ORACLES = {
