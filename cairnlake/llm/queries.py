@@ -6,6 +6,7 @@ from .bpe import op3_bpe
 from .chat import op5_chat
 from .decontaminate import op9_decontamination
 from .langid import op10_langid
+from .line_dedup import op4_line_dedup
 from .ngram_join import op7_ngram_join
 from .oracles import CHAT, PII, QUALITY
 from .pii import op1_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_ngram_join": op7_ngram_join,
