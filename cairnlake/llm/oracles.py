@@ -96,11 +96,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM v
 """
 
-SHARDING = """
-WITH s AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {crc} AS text_crc32 FROM documents),
-o AS (
-  SELECT *, CAST(sum(size) OVER w - size AS DOUBLE) + size / 2 AS middle, sum(size) OVER () AS total, row_number() OVER w AS r
-  FROM s WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT *, CAST(least(floor(middle * 8 / total), 7) AS INT) AS shard FROM o)
-SELECT doc_id, size, 'bytes' AS law, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS k, doc_id, text FROM documents),
+l AS (SELECT k, i, x FROM (SELECT k, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+s AS (SELECT k, i, x, row_number() OVER w AS n, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY k ORDER BY i)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY n) AS c FROM s),
+spans AS (
+  SELECT a.k, a.n AS s, b.n AS e FROM c a JOIN c b ON a.k = b.k AND b.c - b.w < a.c - a.w + {words} AND a.c - a.w + {words} <= b.c
+  UNION
+  SELECT b.k, a.n, b.n FROM c a JOIN c b ON a.k = b.k AND b.c - a.c < {words} AND b.c - a.c + a.w >= {words}),
+said AS (SELECT spans.k, spans.s, e, string_agg(x, chr(10) ORDER BY n) AS t FROM spans JOIN s ON s.k = spans.k AND n BETWEEN spans.s AND e GROUP BY ALL),
+late AS (SELECT k, s, e FROM said QUALIFY row_number() OVER (PARTITION BY t ORDER BY k, s) > 1),
+gone AS (SELECT DISTINCT s.k, s.i FROM late JOIN s ON s.k = late.k AND n BETWEEN late.s AND e),
+kept AS (SELECT k, string_agg(x, chr(10) ORDER BY i) AS t FROM l ANTI JOIN gone USING (k, i) GROUP BY 1)
+SELECT doc_id, (SELECT count(*) FROM s WHERE s.k = d.k) AS n_lines, (SELECT count(*) FROM gone WHERE gone.k = d.k) AS n_deleted,
+  CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text
+FROM d LEFT JOIN kept USING (k)
+"""
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM d
+"""
+
+
+def _crc_table() -> list[int]:
+    """The reflected CRC-32 of each octet, by the polynomial 0xEDB88320."""
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    return table
+
+
+SHARDING = f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+o AS (SELECT doc_id, list_transform(range(0, length(hx) // 2), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT)) AS octets FROM t),
+s AS (SELECT doc_id, len(octets) + 1 AS size, CAST(xor(list_reduce(octets, lambda c, b: xor(CAST({_crc_table()} AS BIGINT[])[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS BIGINT) AS text_crc32 FROM o),
+r AS (SELECT *, sum(size) OVER w - size / 2 AS middle, sum(size) OVER () AS total, row_number() OVER w AS r FROM s WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, CAST(least(floor(middle * 8 / total), 7) AS INT) AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
 """

@@ -6,9 +6,9 @@ from .bpe import op3_bpe
 from .chat import op5_chat
 from .decontaminate import op9_decontamination
 from .langid import op10_langid
-from .line_dedup import op4_line_dedup
+from .line_dedup import MIN_WORDS, op4_line_dedup
 from .ngram_join import op7_ngram_join
-from .oracles import CHAT, PII, QUALITY
+from .oracles import CHAT, LINE_DEDUP, NGRAM_JOIN, PII, QUALITY, SHARDING
 from .pii import op1_pii
 from .quality import STOP_WORDS, op6_quality
 from .sharding import op8_sharding
@@ -29,6 +29,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_pii": PII,
+    "op4_line_dedup": LINE_DEDUP.replace("{words}", str(MIN_WORDS)),
     "op5_chat": CHAT,
     "op6_quality": QUALITY.replace("{stop}", " ".join(sorted(set(STOP_WORDS)))),
+    "op7_ngram_join": NGRAM_JOIN,
+    "op8_sharding": SHARDING,
 }
