@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.workers import let_workers_import
 from .common import table
@@ -156,6 +157,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covera
     """One row for each document and benchmark item that it holds, with how much of the item."""
     spark = docs.sparkSession
     let_workers_import(spark)
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, n_tiles long, n_covered long, n_item_words long, coverage double"
     out = None
@@ -171,7 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covera
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array([n for n, _, _ in found], pa.int64())),
-                        pa.array([own.items[i][0] for _, i, _ in found], pa.from_numpy_dtype("int64") if item_kind == "bigint" else None),
+                        pa.array([own.items[i][0] for _, i, _ in found], item_type),
                         pa.array([len(tiles) for _, _, tiles in found], pa.int64()),
                         pa.array(covered, pa.int64()),
                         pa.array(size, pa.int64()),
