@@ -117,7 +117,8 @@ def loss_text(turns: Column) -> Column:
 def op5_chat(spark, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     made = format_conversations(messages.unionByName(extra))
     read = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
