@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let, table
+from .common import WORD, cut, joined_anew, let, table
 
 MIN_WORDS = 50
 DOC = ("doc_id", "th")
@@ -55,7 +55,7 @@ def segments(docs: DataFrame, min_words: int) -> DataFrame:
     lines = lines.select(*DOC, "seq", F.unhex(F.md5(F.encode("s.x", "UTF-8"))).alias("h"), F.regexp_count("s.x", F.lit(WORD)).alias("w"))
     again = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     # From here on everything is by document: one shuffle serves all that follows.
-    own = lines.join(again, "h", "left_semi").repartition(*DOC).dropDuplicates([*DOC, "seq"])
+    own = joined_anew(lines, again, ["h"], "left_semi").repartition(*DOC).dropDuplicates([*DOC, "seq"])
     at = Window.partitionBy(*DOC).orderBy("seq")
     own = own.withColumn("island", F.col("seq") - F.row_number().over(at))
     whole = own.groupBy(*SEG).agg(F.sum("w").alias("words"), F.sort_array(F.collect_list(F.struct("seq", "h", "w"))).alias("l")).where(F.col("words") >= min_words)
@@ -103,7 +103,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rounds = max(min_words, 1).bit_length() - 1
     segs = cut(segments(docs, min_words))
     firsts = cut(segs.groupBy("sig").agg(F.min(F.struct(*SEG)).alias("o"), F.any_value("hs").alias("hs"), F.any_value("ws").alias("ws")))
-    ids = segs.select("sig", *SEG, "start", F.size("hs").alias("n")).join(firsts.select("sig", "o"), "sig")
+    ids = segs.select("sig", *SEG, "start", F.size("hs").alias("n"))
+    ids = joined_anew(ids, firsts.select("sig", "o"), ["sig"])
     copied = ids.where(F.struct(*SEG) != F.col("o")).select(*DOC, F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
     reps = firsts.select("o.*", "hs", "ws")
     ranked = prefix_ranks(reps.select(*SEG, F.posexplode("hs").alias("pos", "h")), rounds)
@@ -122,7 +123,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ends = cut(ends)
     place = F.struct(*SEG, "s")
     interval = ends.groupBy("n", "a", "b").agg(F.min(place).alias("o"), F.count(F.lit(1)).alias("members")).where("members > 1").select("n", "a", "b", "o")
-    run = ends.join(interval, ["n", "a", "b"]).where(place != F.col("o"))
+    run = joined_anew(ends, interval, ["n", "a", "b"]).where(place != F.col("o"))
     inside = run.join(segs.select(*[F.col(c).alias(f"__{c}") for c in SEG], "start"), (F.col("doc_id").eqNullSafe(F.col("__doc_id"))) & (F.col("th") == F.col("__th")) & (F.col("island") == F.col("__island")))
     first = (F.col("start") + F.col("s")).alias("first")
     parts = inside.select(*DOC, first, (F.col("start") + F.col("s") + F.col("n") - 1).alias("last"))
