@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workers import let_workers_import
-from .common import cut, table
+from .common import cut, joined_anew, table
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 BLOCK, SEED = 512, 7
@@ -263,7 +263,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # Large star: neighbours above a node go to the least of its neighbourhood.
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = joined_anew(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node's neighbours below it, and it, go to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
@@ -298,14 +298,14 @@ def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     summed = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     own = classes.select("set_id", "n_docs").join(summed, "set_id", "left").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     own = own.select("set_id", F.coalesce("root", "set_id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    return signed.select("doc_id", "text_hash", "set_id").join(own, "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    return joined_anew(signed.select("doc_id", "text_hash", "set_id"), own, ["set_id"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
 
 
 def near_groups(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id and n_links of every row of docs."""
     linked = cut(link(docs, **how))
     first = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    out = linked.join(first, "root", "left")
+    out = joined_anew(linked, first, ["root"], "left")
     return out.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
 
 
@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     linked = cut(link(docs, **how))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     first = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("o"))
-    gone = linked.join(first, "root").where(order != F.col("o")).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
+    gone = joined_anew(linked, first, ["root"]).where(order != F.col("o")).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
     again = linked.where(F.col("root").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1")
     rest = docs.withColumn("__h", text_hash())
     left = rest.join(gone.withColumnRenamed("__h", "__g"), rest["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g")), "left_anti")
