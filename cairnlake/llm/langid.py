@@ -8,9 +8,9 @@ log-probabilities, weighted by their bytes. All windows of all texts are looked
 
 Training uses a bounded sample: at most PER_LANG texts of each language, those whose text has
 the least hash, and of each text at most SNIPPETS pieces of WINDOW characters, evenly spread.
-Only text and lang of rows that aren't held out are read; lang, source and doc_id are no
-inputs of a prediction. Window functions keep PER_LANG rows in each task before the shuffle,
-so that a language with most of the rows is no hot group.
+Only text and lang of rows that aren't held out are learnt from; lang, source and doc_id are no
+inputs of a prediction. A count for each language sets a bound on the hash that lets about four
+times as many rows pass as are wanted, so that what is shuffled doesn't grow with the table.
 
 Cases: a null text, or one without a letter, is "und" with score 0, and so is every text if
 there is nothing to learn from; rows without a lang are predicted but not learnt from; a null
@@ -33,6 +33,8 @@ from .common import table
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANG, SNIPPETS, EPOCHS, SEED = 1500, 3, 4, 20
+#: So many languages' counts are broadcast at most.
+MANY_LANGS = 10_000
 
 
 @dataclass
@@ -154,9 +156,14 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
     """The bounded sample that the network learns from: snippets and their languages."""
     text, n = F.col("text"), F.length("text")
-    own = docs.where(F.col("lang").isNotNull() & text.rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    counts = F.broadcast(counts) if counts.limit(MANY_LANGS + 1).count() <= MANY_LANGS else counts
+    # About four times the rows wanted pass by their hash, whatever the size of the table.
+    h = F.xxhash64("text", "doc_id")
+    near = (h / 2.0**64 + 0.5) * F.col("__n") < 4 * per_lang
     cut = F.array_distinct(F.array(*[F.substring(text, (F.greatest(n - WINDOW, F.lit(0)) * (k / max(SNIPPETS - 1, 1))).cast("int") + 1, F.lit(WINDOW)) for k in range(SNIPPETS)]))
-    few = own.select("lang", F.xxhash64("text").alias("h"), cut.alias("cut"))
+    few = own.select("lang", "doc_id", "text").join(counts, "lang").where(near & text.rlike(r"\p{L}")).select("lang", h.alias("h"), cut.alias("cut"))
     by = Window.partitionBy("lang").orderBy("h", "cut")
     rows = few.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang).select("lang", F.explode("cut").alias("t"))
     got = sorted((r.lang, r.t) for r in rows.where(F.col("t").rlike(r"\p{L}")).collect())
