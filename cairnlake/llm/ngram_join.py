@@ -40,7 +40,7 @@ from ..functions.workers import let_workers_import
 from .common import cut, joined_anew, table
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
-BLOCK, SEED = 512, 7
+BLOCK, SEED = 256, 7
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
