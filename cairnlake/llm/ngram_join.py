@@ -315,14 +315,16 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     first = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("o"))
     gone = joined_anew(linked, first, ["root"]).where(order != F.col("o")).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
-    again = linked.where(F.col("root").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1")
     rest = docs.withColumn("__h", text_hash())
-    left = rest.join(gone.withColumnRenamed("__h", "__g"), rest["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g")), "left_anti")
-    # Rows equal in doc_id and text, which alone may still come twice, are thinned by themselves.
-    twice = again.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__g"))
-    same = left["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g"))
-    once = left.join(twice, same, "left_anti").drop("__h")
-    thinned = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__h"]).drop("__h")
+    at = lambda df: df["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g"))
+    left = rest.join(gone.withColumnRenamed("__h", "__g"), at(rest), "left_anti")
+    # Rows equal in doc_id and text may still come twice; the texts move again only if there are any.
+    twice = linked.where(F.col("root").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1")
+    twice = cut(twice.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__g")))
+    if twice.isEmpty():
+        return left.drop("__h")
+    once = left.join(twice, at(left), "left_anti").drop("__h")
+    thinned = left.join(twice, at(left), "left_semi").dropDuplicates(["doc_id", "__h"]).drop("__h")
     return once.unionAll(thinned)
 
 
