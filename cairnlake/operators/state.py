@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the session names; a local one only where none is named."""
+    """df, written to the checkpoint folder that the session names in spark.checkpoint.dir.
+
+    Only on a local master, where one machine is all there is, may none be named.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cairnlake-checkpoints"))
     return df.checkpoint()
