@@ -1,10 +1,11 @@
 """Chat formatting of typed content parts.
 
 A message holds ordered parts: text, image, audio or document. `flatten` visits them by
-kind: a text part gives its escaped text; any other part gives a placeholder that names its
-kind and its number among the conversation's attachments, its reference goes to the list of
-attachments, and its expanded token count is reckoned from its measures. The result is one
-string for a conversation.
+kind: text parts that stand side by side are one text, which is escaped as a whole, so that no
+control string can be put together from several; any other part gives a placeholder that names
+its kind and its number among the conversation's attachments, its reference goes to the list
+of attachments, and its expanded token count is reckoned from its measures. The result is one
+string for a conversation. A part of an unknown kind counts as a text.
 
 Template, all of it made of control strings, which begin with "<|":
 
@@ -18,7 +19,7 @@ away restores every text exactly.
 Cases: null text or role counts as empty; a null or empty list of parts is an empty text;
 turns with equal numbers are ordered by role, then text; null turns come first; repeated
 rows are repeated turns; a conversation whose id is null is one conversation; no rows give
-no rows; other columns are ignored. A conversation is one string, so that its own length is
+no rows (the query still gives conversation -1, as a row apart from one of that number); other columns are ignored. A conversation is one string, so that its own length is
 what a task must hold.
 """
 
@@ -56,7 +57,7 @@ def part_tokens(part: Column) -> Column:
 
 
 def _is_attachment(part: Column) -> Column:
-    return part["kind"].isin("image", "audio", "document")
+    return F.coalesce(part["kind"].isin("image", "audio", "document"), F.lit(False))
 
 
 def flatten(turns: Column) -> Column:
@@ -66,11 +67,22 @@ def flatten(turns: Column) -> Column:
     seen = F.transform(turns, lambda t: F.size(F.filter(t["parts"], _is_attachment)))
 
     def visit(turn: Column, before: Column) -> Column:
-        def part(p: Column, i: Column) -> Column:
-            number = before + F.size(F.filter(F.slice(turn["parts"], 1, i + 1), _is_attachment)) - 1
-            return F.when(_is_attachment(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), number.cast("string"), F.lit("|>"))).otherwise(escape(p["text"]))
+        parts = turn["parts"]
+        # The places of attachments, with one before the first part and one after the last.
+        inside = F.filter(F.transform(parts, lambda p, i: F.when(_is_attachment(p), i)), lambda i: i.isNotNull())
+        edges = F.concat(F.array(F.lit(-1)), inside, F.array(F.size(parts)))
 
-        return F.concat(F.lit(TURN), escape(turn["role"]), F.lit(TEXT), F.array_join(F.transform(turn["parts"], part), ""), F.lit(END))
+        def run(at: Column) -> Column:
+            def one(e: Column, k: Column) -> Column:
+                end = F.get(at, k + 1)
+                said = F.transform(F.slice(parts, e + 2, end - e - 1), lambda p: F.coalesce(p["text"], F.lit("")))
+                p = F.get(parts, end)
+                held = F.concat(F.lit("<|"), p["kind"], F.lit(":"), (before + k).cast("string"), F.lit("|>"))
+                return F.concat(escape(F.array_join(said, "")), F.coalesce(held, F.lit("")))
+
+            return F.array_join(F.transform(F.slice(at, 1, F.size(at) - 1), one), "")
+
+        return F.concat(F.lit(TURN), escape(turn["role"]), F.lit(TEXT), let(edges, run), F.lit(END))
 
     def whole(counts: Column) -> Column:
         sum_before = lambda i: F.aggregate(F.slice(counts, 1, i), F.lit(0), lambda a, b: a + b)
@@ -119,7 +131,7 @@ def op5_chat(spark, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turn = F.col("id")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    made = format_conversations(messages.unionByName(extra))
+    made = format_conversations(messages).unionByName(format_conversations(extra))  # apart from any -1 of the table
     read = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = loss_text(F.col("turns"))

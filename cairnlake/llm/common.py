@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import cut  # noqa: F401  the operators take it from here
+
 #: Bytes that part words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+_LEAST = {"tinyint": -(1 << 7), "smallint": -(1 << 15), "int": -(1 << 31), "bigint": -(1 << 63)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder that the cluster shares, and forget its lineage.
-
-    The folder is the one that the session names in spark.checkpoint.dir. Only where none
-    is named, as in tests, is a local one set.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cairnlake-checkpoints"))
-    return df.checkpoint()
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -40,11 +27,12 @@ def joined_anew(left: DataFrame, right: DataFrame, names: list[str], how: str =
 
     A side that was just summed by the keys lies by them already, and is not dealt again; then
     the other side's hot keys can't be split at run time. Spelling the right side's keys as
-    expressions makes both sides move, and lets a hot key of the left be split. No key may be
-    null on the right; nulls on the left match nothing.
+    expressions of the same value makes both sides move, and lets a hot key of the left be
+    split. Keys are whole numbers, strings or binaries. No key may be null on the right; nulls
+    on the left match nothing.
     """
     kinds = dict(right.dtypes)
-    spelled = {f"__k{i}": F.substring(n, 1, 1 << 30) if kinds[n] in ("string", "binary") else F.greatest(F.col(n), F.lit(-(1 << 31)).cast(kinds[n])) for i, n in enumerate(names)}
+    spelled = {f"__k{i}": _spelled(n, kinds[n]) for i, n in enumerate(names)}
     same = [left[n] == F.col(k) for n, k in zip(names, spelled, strict=True)]
     on = same[0]
     for x in same[1:]:
@@ -52,6 +40,13 @@ def joined_anew(left: DataFrame, right: DataFrame, names: list[str], how: str =
     return left.join(right.withColumns(spelled).drop(*names), on, how).drop(*spelled)
 
 
+def _spelled(name: str, kind: str) -> Column:
+    """The column by an expression that gives every value of its type but null back."""
+    if kind in ("string", "binary"):
+        return F.substring(name, 1, (1 << 31) - 1)
+    return F.greatest(F.col(name), F.lit(_LEAST[kind]).cast(kind))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns so named, in any case."""
     low = {n.lower() for n in names}

@@ -7,49 +7,58 @@ WITH kinds(rank, kind, pattern) AS (VALUES
   (2, 'card', '[0-9]([\x20-]?[0-9])+'),
   (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
 docs AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+proposed(rank, kind, pattern) AS (FROM kinds UNION ALL VALUES
+  (4, 'iban', '\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b'),
+  (5, 'ssn', '[0-9-]+'),
+  (6, 'credential', 'AKIA[0-9A-Z]{16}|[0-9a-f]{16,128}')),
 found AS (
   SELECT rid, text, rank, kind, m, g, i FROM (
     SELECT rid, text, rank, kind, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS gs
-    FROM docs, kinds WHERE regexp_matches(text, pattern)),
+    FROM docs, proposed WHERE regexp_matches(text, pattern)),
   LATERAL (SELECT unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i)),
 placed AS (
-  SELECT rid, rank, kind, m, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid, rank ORDER BY i) AS BIGINT) AS e FROM found),
-ok AS (
-  SELECT rid, rank, kind, e - length(m) AS s, e FROM placed, LATERAL (SELECT regexp_replace(m, '[^0-9]', '', 'g') AS d)
+  SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid, rank ORDER BY i) AS BIGINT) - length(m) AS s FROM found),
+countries AS (SELECT x[1:2] AS country, CAST(x[3:4] AS BIGINT) AS n FROM (SELECT unnest(string_split('{ibans}', ' ')) AS x)),
+shortened AS (
+  SELECT rid, text, rank, kind, s, n, CASE WHEN kind = 'iban' AND contains(m, ' ') AND m[n + (n - 1) // 4 + 1:n + (n - 1) // 4 + 1] = ' ' THEN m[1:n + (n - 1) // 4] ELSE m END AS m
+  FROM placed LEFT JOIN countries ON kind = 'iban' AND country = m[1:2]),
+checked AS (
+  SELECT *, s + length(m) AS e FROM shortened, LATERAL (SELECT regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS p)
   WHERE kind = 'email'
      OR kind = 'ip' AND list_max([CAST(p AS HUGEINT) FOR p IN string_split(m, '.')]) <= 255
      OR kind = 'phone' AND length(d) BETWEEN 9 AND 15
      OR kind = 'card' AND length(d) BETWEEN 12 AND 19 AND list_sum([
           CASE WHEN (length(d) - k) % 2 = 0 THEN CAST(d[k] AS INT)
-               WHEN CAST(d[k] AS INT) > 4 THEN 2 * CAST(d[k] AS INT) - 9 ELSE 2 * CAST(d[k] AS INT) END FOR k IN range(1, length(d) + 1)]) % 10 = 0),
-added AS (
-  SELECT rid, m, g, i, text FROM (
-    SELECT rid, text, regexp_extract_all(text, p) AS ms, string_split_regex(text, p) AS gs
-    FROM docs, (VALUES ('AKIA[0-9A-Z]{16}|[0-9a-f]{16,128}')) v(p) WHERE regexp_matches(text, p)),
-  LATERAL (SELECT unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i)),
-added_at AS (
-  SELECT rid, m, text, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS e FROM added),
-creds AS (
-  SELECT rid, 6 AS rank, 'credential' AS kind, s, e FROM (SELECT *, e - length(m) AS s FROM added_at)
-  WHERE (s = 0 OR NOT regexp_matches(text[s:s], '[A-Za-z0-9]')) AND (e = length(text) OR NOT regexp_matches(text[e + 1:e + 1], '[A-Za-z0-9]'))
-    AND (m LIKE 'AKIA%' OR regexp_matches(lower(text[greatest(s - 39, 1):s]), '(password|passwd|token|secret|api[_ -]?key)[^A-Za-z0-9_]{0,4}$'))),
-every AS (SELECT * FROM ok UNION ALL SELECT * FROM creds),
+               WHEN CAST(d[k] AS INT) > 4 THEN 2 * CAST(d[k] AS INT) - 9 ELSE 2 * CAST(d[k] AS INT) END FOR k IN range(1, length(d) + 1)]) % 10 = 0
+     OR kind = 'iban' AND length(p) BETWEEN 15 AND 34 AND coalesce(n, length(p)) = length(p)
+        AND list_reduce(list_prepend(0, [CAST(ord(c) - CASE WHEN c < 'A' THEN 48 ELSE 55 END AS BIGINT) FOR c IN string_split(p[5:] || p[1:4], '')]),
+          lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1
+     OR kind = 'ssn' AND regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(000|666|9)|-00-|0000$')
+     OR kind = 'credential' AND (s = 0 OR NOT regexp_matches(text[s:s], '[A-Za-z0-9]')) AND (s + length(m) = length(text) OR NOT regexp_matches(text[s + length(m) + 1:s + length(m) + 1], '[A-Za-z0-9]'))),
+scored AS (
+  SELECT rid, rank, kind, s, e, least(100, CASE kind WHEN 'email' THEN 90 WHEN 'ip' THEN 60 WHEN 'card' THEN 70 WHEN 'phone' THEN 60 WHEN 'iban' THEN 80 WHEN 'ssn' THEN 30
+      ELSE CASE WHEN m LIKE 'AKIA%' THEN 90 ELSE 20 END END
+    + CASE WHEN kind = 'credential' AND regexp_matches(b, '(password|passwd|token|secret|api[_ -]?key)[^A-Za-z0-9_]{0,4}$') OR regexp_matches(b, c) OR regexp_matches(a, c) THEN 50 ELSE 0 END)
+    - CASE WHEN regexp_matches(b, 'example|sample|dummy|placeholder') OR regexp_matches(a, 'example|sample|dummy|placeholder') THEN 30 ELSE 0 END AS score
+  FROM checked, LATERAL (SELECT lower(text[greatest(s - 39, 1):s]) AS b, lower(text[e + 1:e + 40]) AS a, CASE kind WHEN 'email' THEN 'mail|contact'
+    WHEN 'ip' THEN '(^|[^a-z0-9])ip([^a-z0-9]|$)|address|host|server' WHEN 'card' THEN 'card|visa|credit|payment|karte|carte|tarjeta' WHEN 'phone' THEN 'phone|tel|mobile|call|fax'
+    WHEN 'iban' THEN 'iban|account|bank|konto' WHEN 'ssn' THEN '(^|[^a-z0-9])ssn([^a-z0-9]|$)|social security' ELSE 'a^' END AS c)),
 summed AS (
   SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
-    count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'credential') AS n_credential,
+    count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'iban') AS n_iban, count(*) FILTER (kind = 'ssn') AS n_ssn, count(*) FILTER (kind = 'credential') AS n_credential,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base,
-    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
-  FROM every GROUP BY rid)
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, count(*) AS n_spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, rank) AS scores
+  FROM scored WHERE rank < 4 OR score >= 60 GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  CAST(0 AS BIGINT) AS n_iban, CAST(0 AS BIGINT) AS n_ssn, coalesce(n_credential, 0) AS n_credential
+  coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn, coalesce(n_credential, 0) AS n_credential, coalesce(n_spans, 0) AS n_spans, coalesce(scores, '') AS scores
 FROM docs LEFT JOIN summed USING (rid)
 """
 
 CHAT = r"""
 WITH m AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  SELECT conv_id, false AS extra, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, true, 0, 'user', '</s>[INST] ok [/INST]'), (-1, true, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (
   SELECT *, regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') AS er,
     regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') AS et FROM m)
@@ -58,7 +67,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|turn|>' || er || '<|text|>' || et || '<|end|>')) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, extra
 """
 
 QUALITY = r"""
@@ -76,7 +85,7 @@ q AS (
     len(list_filter(w, lambda x: regexp_full_match(x, '\p{Lu}[\p{Lu}\p{P}]+'))) AS shout,
     len(list_filter(l, lambda x: regexp_matches(x, '^[ \t\x0B\f\r]*(?:[-*•]|\d+[.)])[ \t\x0B\f\r]'))) AS bullets,
     len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|…)[ \t\x0B\f\r]*$'))) AS dots,
-    len(list_intersect(w, string_split('{stop}', ' '))) AS stops
+    len(list_filter(w, lambda x: list_contains(string_split('{stop}', ' '), trim(lower(x), '{marks}')))) AS stops
   FROM d LEFT JOIN cov USING (rid)),
 v AS (
   SELECT *, greatest(n_words, 1) AS n, [
@@ -88,7 +97,7 @@ v AS (
     CASE WHEN n_dup_lines / nl > 0.5 THEN 'dup_line_ratio' END,
     CASE WHEN bullets / nl > 0.9 THEN 'bullet_line_ratio' END,
     CASE WHEN dots / nl > 0.3 THEN 'ellipsis_line_ratio' END,
-    CASE WHEN n_words >= 50 AND stops < 1 THEN 'stop_words' END] AS f FROM q)
+    CASE WHEN n_words >= 50 AND stops / n < 0.05 THEN 'stop_word_ratio' END] AS f FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   len(list_filter(f, lambda x: x IS NOT NULL)) = 0 AS kept,

@@ -2,7 +2,9 @@
 
 Every rule is a row of RULES: a ratio or count, its least and its greatest allowed value.
 `quality_columns` turns the table into Column expressions of the text alone, so that the
-whole verdict is one projection without shuffle, join or user function.
+whole verdict is one projection without shuffle, join or user function. The stop-word ratio
+counts words as they stand in any case and between marks; it is asked of texts of SHORT words
+or more.
 
 Cases: a null or empty text has no words and fails; repeated rows are judged alike; other
 columns are ignored or passed through, and ones named like an output are replaced by it.
@@ -28,6 +30,7 @@ el los las y que en un una por con para es se lo su al como del
 WINDOW = 5
 #: Texts of fewer words may well hold no stop word; the rule passes them.
 SHORT = 50
+MARKS = ".,;:!?\"'()[]«»¿¡…"
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -50,7 +53,7 @@ RULES = (
     Rule("dup_line_ratio", most=0.5),
     Rule("bullet_line_ratio", most=0.9),
     Rule("ellipsis_line_ratio", most=0.3),
-    Rule("stop_words", least=1),
+    Rule("stop_word_ratio", least=0.05),
 )
 
 
@@ -101,7 +104,7 @@ def quality_columns(text: Column) -> Column:
                 (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"),
                 _covered(_windows(words)).cast("long").alias("n_repeat_words"),
                 F.size(own).cast("long").alias("n_lines"),
-                F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(set(STOP_WORDS)))))).cast("long").alias("stop_words"),
+                F.size(F.filter(words, lambda w: F.btrim(F.lower(w), F.lit(MARKS)).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
                 F.size(F.filter(own, lambda x: x.rlike(r"^\s*(?:[-*•]|\d+[.)])\s"))).cast("long").alias("n_bullet_lines"),
                 F.size(F.filter(own, lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
                 F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}[\p{Lu}\p{P}]+(?![^\x20\x09-\x0D])")).cast("long").alias("n_shout_words"),
@@ -122,7 +125,7 @@ def _measures(q: Column) -> dict[str, Column]:
         "dup_line_ratio": q["n_dup_lines"] / lines,
         "bullet_line_ratio": q["n_bullet_lines"] / lines,
         "ellipsis_line_ratio": q["n_ellipsis_lines"] / lines,
-        "stop_words": F.when(q["n_words"] < SHORT, F.lit(1)).otherwise(q["stop_words"]),
+        "stop_word_ratio": F.when(q["n_words"] < SHORT, F.lit(1.0)).otherwise(q["n_stop_words"] / words),
     }
 
 

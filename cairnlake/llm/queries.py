@@ -9,8 +9,8 @@ from .langid import op10_langid
 from .line_dedup import MIN_WORDS, op4_line_dedup
 from .ngram_join import op7_ngram_join
 from .oracles import CHAT, LINE_DEDUP, NGRAM_JOIN, PII, QUALITY, SHARDING
-from .pii import op1_pii
-from .quality import STOP_WORDS, op6_quality
+from .pii import IBAN_LENGTHS, op1_pii
+from .quality import MARKS, STOP_WORDS, op6_quality
 from .sharding import op8_sharding
 from .token_counts import op2_token_counts
 
@@ -28,10 +28,10 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op1_pii": PII,
+    "op1_pii": PII.replace("{ibans}", " ".join(IBAN_LENGTHS)),
     "op4_line_dedup": LINE_DEDUP.replace("{words}", str(MIN_WORDS)),
     "op5_chat": CHAT,
-    "op6_quality": QUALITY.replace("{stop}", " ".join(sorted(set(STOP_WORDS)))),
+    "op6_quality": QUALITY.replace("{stop}", " ".join(sorted(set(STOP_WORDS)))).replace("{marks}", MARKS.replace("'", "''")),
     "op7_ngram_join": NGRAM_JOIN,
     "op8_sharding": SHARDING,
 }
