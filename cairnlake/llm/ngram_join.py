@@ -3,13 +3,19 @@
 A document's set is its runs of N words (all its words if it has fewer). Documents with equal
 sets are one class, whatever their number, and only classes are compared.
 
-1. Signatures: BANDS x ROWS minima of hashed n-grams. `banding` picks the least number of bands
-   whose chance to miss a pair at the threshold is below 1 - recall.
+1. Signatures: minima of hashed n-grams, in bands of some rows each. `banding` picks both: for
+   each number of rows the least number of bands whose chance to miss a pair at the threshold is
+   below 1 - recall, and of these the most rows, thus the fewest false candidates, that HASHES
+   minima pay for.
 2. Shuffle on band hashes. Buckets of one member are dropped; of buckets with the very same
    members only the first is kept, as two such classes have the same pairs.
-3. A bucket is cut into blocks of BLOCK members by hash, and every two blocks (and each block
-   by itself) are a task's unit, so that a bucket of any size spreads over many tasks and no
-   task holds more than two blocks.
+3. A bucket of more than BLOCK members or BLOCK_BYTES of sets is cut by the sets' sizes into levels
+   whose bounds grow by 1 / threshold, so that links only join a level to itself and to the next,
+   and each level by hash into blocks within both bounds. Every two blocks of a level or of
+   neighbouring ones (and each block by itself) are a task's unit: a bucket of any size spreads
+   over many tasks, no task holds more than two blocks, and no set is sent to meet sets that are
+   too short or too long for it. A set goes to as many units as its own and the neighbouring
+   levels have blocks.
 4. In a unit the full n-gram sets are intersected: pair by pair in small units, as products of
    incidence matrices in large ones. A pair is looked at only in the first bucket that it
    shares, and leaves only sums: for each class the number of documents that it links to, and
@@ -39,14 +45,16 @@ from pyspark.sql import functions as F
 from ..functions.workers import let_workers_import
 from .common import cut, joined_anew, table
 
-N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
-BLOCK, SEED = 256, 7
+N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 80
+BLOCK, BLOCK_BYTES, SEED = 256, 4 << 20, 7
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
-    """The number of bands of so many rows that finds a pair at the threshold with chance recall."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
+def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, rows) that find a pair at the threshold with chance recall; one row if so few hashes allow no more."""
+    bands = lambda rows: max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-(threshold**rows)))))
+    rows = max([r for r in range(1, hashes + 1) if r * bands(r) <= hashes], default=1)
+    return bands(rows), rows
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,10 +111,9 @@ class MinHash:
         return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, n: int = N, bands: int | None = None, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, text_hash, set_id (null without words), n_grams and the band hashes of each row."""
     let_workers_import(docs.sparkSession)
-    bands = bands or banding(rows=rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, hashes = Shingles(n), MinHash(bands, rows)
@@ -131,17 +138,26 @@ def text_hash():
     return F.unhex(F.md5(F.encode("text", "UTF-8")))
 
 
-def units(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The units of comparison: (bucket, i, j) and a member class, with the band of the bucket."""
-    members = classes.select("set_id", F.posexplode("bands").alias("band", "bucket"))
-    h1, h2 = F.xxhash64("set_id"), F.xxhash64("set_id", F.lit(1))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("band").alias("band"), F.bit_xor(h1).alias("x"), F.bit_xor(h2).alias("y"))
-    kept = buckets.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b"))
-    kept = kept.select(F.col("b.bucket").alias("bucket"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = members.join(kept, "bucket").withColumn("own", F.pmod(h1, F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = own.select("bucket", "band", "set_id", "own", other)
-    return spread.select("bucket", "band", "set_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def units(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The units of comparison: (bucket, i, j) and a member class in block own, with the band of the bucket."""
+    members = classes.select("set_id", "n_grams", F.posexplode("bands").alias("band", "bucket"))
+    h1, h2, size = F.xxhash64("set_id"), F.xxhash64("set_id", F.lit(1)), 8 * F.col("n_grams").cast("long")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.min("band").alias("band"), F.bit_xor(h1).alias("x"), F.bit_xor(h2).alias("y"))
+    kept = buckets.where("n > 1").groupBy("n", "bytes", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b"))
+    kept = kept.select(F.col("b.bucket").alias("bucket"), ((F.col("n") > block) | (F.col("bytes") > block_bytes)).alias("large"))
+    own = cut(members.join(kept, "bucket"))
+    small = own.where("not large").select("bucket", "band", "set_id", *[F.lit(0).alias(c) for c in ("own", "i", "j")])
+    # The step is a hair wider, so that rounding never parts sizes at the threshold by two levels.
+    large = own.where("large").withColumn("level", F.floor(F.log(F.col("n_grams")) / (-np.log(threshold) * (1 + 1e-9))).cast("int"))
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(size) / block_bytes)).cast("int")
+    levels = large.groupBy("bucket", "level").agg(count.alias("blocks")).groupBy("bucket").agg(F.collect_list(F.struct("level", "blocks")).alias("levels"))
+    placed = joined_anew(large, levels, ["bucket"])
+    blocks = lambda which: F.aggregate(F.filter("levels", which), F.lit(0), lambda a, x: a + x["blocks"])
+    at = F.col("level")
+    first, mine = blocks(lambda x: x["level"] < at), blocks(lambda x: x["level"] == at)
+    lower, upper = blocks(lambda x: x["level"] == at - 1), blocks(lambda x: x["level"] == at + 1)
+    placed = placed.select("bucket", "band", "set_id", (first + F.pmod(h1, mine)).cast("int").alias("own"), F.explode(F.sequence(first - lower, first + mine + upper - 1)).alias("other"))
+    return small.unionByName(placed.select("bucket", "band", "set_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
 
 
 def _links(a: list[np.ndarray], b: list[np.ndarray] | None, wanted: np.ndarray, threshold: float) -> np.ndarray:
@@ -189,7 +205,7 @@ def _compare(unit: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     right = left if i == j else np.flatnonzero(own == j)
     if not len(left) or not len(right) or i == j and len(left) < 2:
         return None
-    bands = np.stack(unit["bands"].to_numpy())
+    bands = np.stack(unit["bands"].to_numpy()).reshape(len(unit), band)
     wanted = np.ones((len(left), len(right)), bool)
     for k in range(band):  # a pair that shares an earlier bucket was looked at there
         wanted &= bands[left, k][:, None] != bands[right, k]
@@ -274,12 +290,12 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text_hash, set_id, root (the group's least set) and n_links of every row of docs."""
-    signed = cut(signatures(docs, n, banding(threshold, recall, rows), rows))
+    signed = cut(signatures(docs, n, *banding(threshold, recall, hashes)))
     known = signed.where(F.col("set_id").isNotNull())
-    classes = cut(known.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("bands").alias("bands")))
-    pairs = cut(units(classes, block))
+    classes = cut(known.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n_grams").alias("n_grams"), F.any_value("bands").alias("bands")))
+    pairs = cut(units(classes, threshold, block, block_bytes))
     used = pairs.select("set_id").distinct().join(classes, "set_id").select("set_id", "n_docs", "bands", "first.*")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +308,8 @@ def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     texts = docs.select(F.col("doc_id").alias("__d"), text_hash().alias("__h"), "text")
     spelled = used.join(texts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")))
     spelled = spelled.select("set_id", "n_docs", "bands", "text").mapInArrow(spell, "set_id binary, n_docs bigint, bands array<bigint>, grams binary").dropDuplicates(["set_id"])
-    ready = pairs.join(spelled, "set_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "set_id")
+    # Only the bands before a bucket's own tell whether a pair was looked at before.
+    ready = pairs.join(spelled, "set_id").withColumn("bands", F.slice("bands", 1, F.col("band"))).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "set_id")
     found = cut(ready.mapInPandas(_verify(threshold), "set_id binary, root binary, links bigint"))
     groups = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     summed = found.groupBy("set_id").agg(F.sum("links").alias("links"))
