@@ -5,7 +5,8 @@ node is the lesser of its children, so that the root is the leftmost pair of the
 A merge links the right neighbour out, and updates at most three leaves, each on its way to
 the root. The work ends when the root holds no rank. n bytes take O(n log n) steps even if
 the whole text is a single pre-token. The trees of all pre-tokens of a batch that weren't met
-lately are kept as numpy arrays, and merged in step.
+lately are kept as numpy arrays, and merged in step; the tree of a pre-token of more than LONG
+bytes, which would be nearly alone in its step, is worked on by itself.
 
 Decoding joins the bytes of the ids and reads them as UTF-8, with U+FFFD for what isn't.
 
@@ -16,6 +17,7 @@ ones named like an output are replaced; memory is bounded by the longest text an
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ from . import vocab as V
 from .common import hex_sha256, table
 
 CACHE = 700_000
+LONG = 512
 
 
 class Trees:
@@ -103,11 +106,68 @@ class Trees:
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def merge_long(word: bytes, v: V.Vocabulary) -> bytes:
+    """The ids that one long word is merged to, by its own tree."""
+    n = len(word)
+    symbols = v.first[np.frombuffer(word, np.uint8)]
+    symbols[-1] = v.last[word[-1]]
+    wide = 1 << (n - 2).bit_length()
+    none = V.NO_RANK * wide
+    ranks, merged = v.rank(symbols[:-1], symbols[1:])
+    whole = np.full(2 * wide, none, np.int64)
+    whole[wide : wide + n - 1] = np.where(ranks == V.NO_RANK, none, ranks.astype(np.int64) * wide + np.arange(n - 1))
+    k = wide
+    while k > 1:
+        whole[k // 2 : k] = np.minimum(whole[k : 2 * k : 2], whole[k + 1 : 2 * k : 2])
+        k //= 2
+    tree, ids, to = array("q", whole.tobytes()), array("q", symbols.astype(np.int64).tobytes()), array("q", np.r_[merged, 0].astype(np.int64).tobytes())
+    after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    pairs = v.pairs
+
+    def put(at: int, key: int) -> None:
+        at += wide
+        tree[at] = key
+        while at > 1:
+            other = tree[at ^ 1]
+            at >>= 1
+            low = key if key < other else other
+            if tree[at] == low:
+                return  # nothing changes further up
+            tree[at] = key = low
+
+    while (root := tree[1]) < none:
+        i = root % wide
+        j = after[i]
+        k = after[j]
+        ids[i], ids[j], after[i] = to[i], -1, k
+        if j < n - 1:
+            put(j, none)
+        if k < n:
+            before[k] = i
+            found = pairs.get((ids[i], ids[k]))
+            if found:
+                to[i] = found[1]
+            put(i, found[0] * wide + i if found else none)
+        else:
+            put(i, none)
+        h = before[i]
+        if h >= 0:
+            found = pairs.get((ids[h], ids[i]))
+            if found:
+                to[h] = found[1]
+            put(h, found[0] * wide + h if found else none)
+    out = np.frombuffer(ids, np.int64)
+    return out[out >= 0].astype(np.int32).tobytes()
+
+
 def merge_all(words: list[bytes], v: V.Vocabulary) -> list[bytes]:
     """The ids that each word, not empty, is merged to; words of like length share trees."""
     out: list[bytes] = [b""] * len(words)
     by: dict[int, list[int]] = {}
     for n, w in enumerate(words):
+        if len(w) > LONG:
+            out[n] = merge_long(w, v)
+            continue
         by.setdefault(max(len(w) - 2, 0).bit_length(), []).append(n)
     for width, own in by.items():
         step = max(1, (1 << 20) >> width)  # bounds the arrays
@@ -150,8 +210,8 @@ class Codec:
         return b"".join(map(self.v.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, ids (array<int>) and decoded (the text read back from the ids)."""
+def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), decode: bool = True) -> DataFrame:
+    """The columns in keep, ids (array<int>) and, with decode, decoded (the text read back from the ids)."""
     let_workers_import(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(V.read(tokenizer_path))
     kept = [c for c in keep if c not in ("ids", "decoded")]
@@ -166,11 +226,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] =
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 own = [batch.column(c).slice(done, len(group)) for c in kept]
                 done += len(group)
-                yield pa.RecordBatch.from_arrays([*own, lists, pa.array([codec.decode(x) for x in ids], pa.string())], [*kept, "ids", "decoded"])
+                read = [pa.array([codec.decode(x) for x in ids], pa.string())] if decode else []
+                yield pa.RecordBatch.from_arrays([*own, lists, *read], [*kept, "ids", *["decoded"] * decode])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
     sent = docs.select(*[f"`{c}`" for c in kept], F.col("text").alias("__text"))
-    return sent.mapInArrow(run, ", ".join([*kinds, "ids array<int>", "decoded string"]))
+    return sent.mapInArrow(run, ", ".join([*kinds, "ids array<int>", *["decoded string"] * decode]))
 
 
 def digest(encoded: DataFrame) -> DataFrame:

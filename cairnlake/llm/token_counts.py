@@ -7,6 +7,10 @@ symbols every other pair, from the left). When no pair is left, the symbols that
 each pre-token are its tokens. As a pair's merge is always learnt after the pair's own
 parts, merging all pairs of the lowest rank together equals merging them one by one.
 
+A pre-token of more than LONG bytes has too many ranks for rounds over all its symbols. There
+the places of each rank are kept in lists, and a round only touches the pairs that it merges
+and their neighbours; the ranks rise from round to round by the same argument.
+
 Cases: a null or empty text has 0 bytes and 0 tokens; special strings inside a text are one
 token each; repeated rows are counted alike; other columns are ignored; memory is bounded by
 the longest text and by CACHE pre-tokens.
@@ -14,6 +18,7 @@ the longest text and by CACHE pre-tokens.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,7 @@ from . import vocab as V
 from .common import table
 
 CACHE = 700_000
-LIMIT = 2048
+LIMIT, LONG = 2048, 512
 
 
 def count_merged(words: list[bytes], v: V.Vocabulary) -> np.ndarray:
@@ -63,6 +68,65 @@ def count_merged(words: list[bytes], v: V.Vocabulary) -> np.ndarray:
     return count
 
 
+def count_long(word: bytes, v: V.Vocabulary) -> int:
+    """How many tokens a long word is merged to: rank by rank, over lists of places."""
+    n = len(word)
+    symbol = v.first[np.frombuffer(word, np.uint8)]
+    symbol[-1] = v.last[word[-1]]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    rank, merged = v.rank(symbol[:-1], symbol[1:])
+    rank, merged = np.r_[rank, V.NO_RANK], np.r_[merged, 0]
+    places: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def note(at: np.ndarray) -> None:
+        """Lists the places by their rank."""
+        own = rank[at]
+        at = at[own != V.NO_RANK]
+        if not len(at):
+            return
+        order = np.argsort(rank[at], kind="stable")
+        at = at[order]
+        own = rank[at]
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for r, lo, hi in zip(own[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+            if r not in places:
+                places[r] = []
+                heapq.heappush(ranks, r)
+            places[r].append(at[lo:hi])
+
+    note(np.arange(n - 1))
+    left = n
+    while ranks:
+        r = heapq.heappop(ranks)
+        listed = places.pop(r)
+        at = np.unique(np.concatenate(listed)) if len(listed) > 1 else listed[0]
+        at = at[rank[at] == r]  # others were merged away, or changed, since they were listed
+        if not len(at):
+            continue
+        new_run = np.r_[True, after[at[:-1]] != at[1:]]
+        run_start = np.flatnonzero(new_run)
+        offset = np.arange(len(at)) - np.repeat(run_start, np.diff(np.r_[run_start, len(at)]))
+        at = at[offset % 2 == 0]
+        gone = after[at]
+        symbol[at] = merged[at]
+        rank[gone] = V.NO_RANK
+        far = after[gone]
+        after[at] = far
+        inner = far < n
+        before[far[inner]] = at[inner]
+        left -= len(at)
+        back = before[at]
+        touched = np.unique(np.r_[at, back[back >= 0]])
+        right = after[touched]
+        open_ = right < n
+        rank[touched[~open_]] = V.NO_RANK
+        touched, right = touched[open_], right[open_]
+        rank[touched], merged[touched] = v.rank(symbol[touched], symbol[right])
+        note(touched)
+    return left
+
+
 class Counter:
     def __init__(self, blob: bytes):
         self.v, self.known = V.parsed(blob), {}
@@ -81,7 +145,11 @@ class Counter:
         if len(self.known) + len(fresh) > CACHE:
             self.known, fresh = {}, [*met]
         if fresh:
-            self.known.update(zip(fresh, count_merged([w.encode() for w in fresh], self.v).tolist(), strict=True))
+            spelled = {w: w.encode() for w in fresh}
+            short = [w for w, b in spelled.items() if len(b) <= LONG]
+            if short:
+                self.known.update(zip(short, count_merged([spelled[w] for w in short], self.v).tolist(), strict=True))
+            self.known.update((w, count_long(b, self.v)) for w, b in spelled.items() if len(b) > LONG)
         return [sum(map(self.known.__getitem__, words)) + special for words, special in cut]
 
 
