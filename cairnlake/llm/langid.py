@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workers import let_workers_import
-from .common import table
+from .common import cut, table
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANG, SNIPPETS, EPOCHS, SEED = 1500, 3, 4, 20
-#: So many languages' counts are broadcast at most.
+#: The counts of so many languages, 1 MB at most, are broadcast; those of more are joined by a shuffle.
 MANY_LANGS = 10_000
 
 
@@ -65,6 +65,34 @@ def _responses(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sum(np.take(w[k], x[:, k : k + span], axis=0) for k in range(len(w)))
 
 
+def loss_and_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The weighted mean cross entropy of windows x with languages y, and its gradient."""
+    n, seen = len(x), np.arange(FILTERS)
+    places, pooled = {}, []
+    for w in WIDTHS:
+        r = _responses(x, p[f"w{w}"])
+        places[w] = r.argmax(axis=1)
+        pooled.append(np.take_along_axis(r, places[w][:, None, :], 1)[:, 0])
+    h = np.concatenate(pooled, 1) + p["b"]
+    a = np.maximum(h, 0)
+    z = a @ p["d"] + p["e"]
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    loss = -(weight * np.log(z[np.arange(n), y])).sum() / n
+    z[np.arange(n), y] -= 1
+    z *= weight[:, None] / n
+    g = {"d": a.T @ z, "e": z.sum(0)}
+    back = (z @ p["d"].T) * (h > 0)
+    g["b"] = back.sum(0)
+    for k, w in enumerate(WIDTHS):
+        gw = np.zeros_like(p[f"w{w}"])
+        own = back[:, k * FILTERS : (k + 1) * FILTERS]
+        for j in range(w):
+            np.add.at(gw[j], (np.take_along_axis(x, places[w] + j, 1), seen[None, :]), own)
+        g[f"w{w}"] = gw
+    return float(loss), g
+
+
 def train(texts: list[str], labels: list[str]) -> Network:
     rng = np.random.default_rng(SEED)
     langs = sorted(set(labels))
@@ -75,33 +103,12 @@ def train(texts: list[str], labels: list[str]) -> Network:
     p |= {"b": np.zeros(total, np.float32), "d": rng.normal(0, 0.1, (total, len(langs))).astype(np.float32), "e": np.zeros(len(langs), np.float32)}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     weight = (len(y) / np.maximum(np.bincount(y, minlength=len(langs)), 1) / len(langs)).astype(np.float32)
-    step, batch, seen = 0, 64, np.arange(FILTERS)
+    step, batch = 0, 64
     for epoch in range(EPOCHS):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             i = order[at : at + batch]
-            xb, yb, n = x[i], y[i], len(i)
-            places, pooled = {}, []
-            for w in WIDTHS:
-                r = _responses(xb, p[f"w{w}"])
-                places[w] = r.argmax(axis=1)
-                pooled.append(np.take_along_axis(r, places[w][:, None, :], 1)[:, 0])
-            h = np.concatenate(pooled, 1) + p["b"]
-            a = np.maximum(h, 0)
-            z = a @ p["d"] + p["e"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(n), yb] -= 1
-            z *= weight[yb][:, None] / n
-            g = {"d": a.T @ z, "e": z.sum(0)}
-            back = (z @ p["d"].T) * (h > 0)
-            g["b"] = back.sum(0)
-            for k, w in enumerate(WIDTHS):
-                gw = np.zeros_like(p[f"w{w}"])
-                own = back[:, k * FILTERS : (k + 1) * FILTERS]
-                for j in range(w):
-                    np.add.at(gw[j], (np.take_along_axis(xb, places[w] + j, 1), seen[None, :]), own)
-                g[f"w{w}"] = gw
+            _, g = loss_and_gradient(p, x[i], y[i], weight[y[i]])
             step += 1
             rate = 0.01 / (1 + epoch)
             for k, v in g.items():
@@ -157,13 +164,13 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], list[s
     """The bounded sample that the network learns from: snippets and their languages."""
     text, n = F.col("text"), F.length("text")
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    counts = F.broadcast(counts) if counts.limit(MANY_LANGS + 1).count() <= MANY_LANGS else counts
+    counts = cut(own.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")))
+    counts = F.broadcast(counts) if counts.count() <= MANY_LANGS else counts
     # About four times the rows wanted pass by their hash, whatever the size of the table.
     h = F.xxhash64("text", "doc_id")
     near = (h / 2.0**64 + 0.5) * F.col("__n") < 4 * per_lang
-    cut = F.array_distinct(F.array(*[F.substring(text, (F.greatest(n - WINDOW, F.lit(0)) * (k / max(SNIPPETS - 1, 1))).cast("int") + 1, F.lit(WINDOW)) for k in range(SNIPPETS)]))
-    few = own.select("lang", "doc_id", "text").join(counts, "lang").where(near & text.rlike(r"\p{L}")).select("lang", h.alias("h"), cut.alias("cut"))
+    snippets = F.array_distinct(F.array(*[F.substring(text, (F.greatest(n - WINDOW, F.lit(0)) * (k / max(SNIPPETS - 1, 1))).cast("int") + 1, F.lit(WINDOW)) for k in range(SNIPPETS)]))
+    few = own.select("lang", "doc_id", "text").join(counts, "lang").where(near & text.rlike(r"\p{L}")).select("lang", h.alias("h"), snippets.alias("cut"))
     by = Window.partitionBy("lang").orderBy("h", "cut")
     rows = few.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang).select("lang", F.explode("cut").alias("t"))
     got = sorted((r.lang, r.t) for r in rows.where(F.col("t").rlike(r"\p{L}")).collect())
