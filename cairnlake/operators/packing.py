@@ -5,9 +5,10 @@ length, and the chunk that brings the size to the target or beyond closes the pa
 works it out without a single writer. Rows are range-partitioned by the order, and every
 partition reports, for each size that a pack may already have when the partition begins, how
 many packs end in it and what size it leaves open. That answer only depends on the place of
-the first cut, of which there are as many as chunks fit in one pack, so that a report is small
-whatever the partition holds. Chaining the reports gives each partition its own start, and the
-partitions then fold on their own.
+the first cut, of which there are at most as many as chunks fit in one pack; first cuts that
+come to the same end, as most do once a few packs are closed, are one line of the report. The
+driver chains the reports in order, one at a time, and keeps two numbers for each partition, its
+start; the partitions then fold on their own.
 """
 
 from __future__ import annotations
@@ -56,7 +57,10 @@ def report(lengths: np.ndarray, target: int) -> tuple[list[int], list[int], list
         else:
             left[i] = PACK_HEADER + total[-1] - (total[i - 1] if i else 0)
     firsts = np.arange(n)[: int(np.searchsorted(total, target - PACK_HEADER)) + 1]
-    return total[firsts].tolist(), (packs[firsts + 1] + 1).tolist(), left[firsts + 1].tolist()
+    ended, rest = packs[firsts + 1] + 1, left[firsts + 1]
+    # Of first cuts in a row with one outcome, the last stands for all.
+    last = np.flatnonzero(np.r_[(np.diff(ended) != 0) | (np.diff(rest) != 0), np.ones(min(len(firsts), 1), bool)])
+    return total[firsts][last].tolist(), ended[last].tolist(), rest[last].tolist()
 
 
 def assign(chunks: DataFrame, order: list[str], length: str = "length", target: int = TARGET) -> DataFrame:
@@ -90,10 +94,9 @@ def assign(chunks: DataFrame, order: list[str], length: str = "length", target:
             total = int((n + ENTRY_HEADER).sum())
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64()), *[pa.array([x], pa.list_(pa.int64())) for x in (upto, packs, left)]], ["part", "total", "upto", "packs", "left"])
 
-    # One report for each partition, of as many numbers as chunks fit in a pack.
-    said = sorted(slim.mapInArrow(reports, "part int, total long, upto array<long>, packs array<long>, left array<long>").toLocalIterator(), key=lambda r: r.part)
     starts, pack, size = {}, 0, PACK_HEADER
-    for r in said:
+    said = slim.mapInArrow(reports, "part int, total long, upto array<long>, packs array<long>, left array<long>")
+    for r in cut(said).orderBy("part").toLocalIterator():
         starts[r.part] = (pack, size)
         k = int(np.searchsorted(r.upto, target - size)) if r.upto else 0
         if r.upto and k < len(r.upto):

@@ -1,4 +1,7 @@
-"""Snapshots: a list by time, references to one, and what they keep alive."""
+"""Snapshots: a list by time, references to one, and what they keep alive.
+
+Snapshots that have no time come first in lists and are the latest only if no other has one.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ class SnapshotError(LookupError):
 
 
 def listed(snapshots: DataFrame) -> DataFrame:
+    """All snapshots, the oldest first; equal times by id."""
     return snapshots.orderBy("created", "id")
 
 
@@ -20,13 +24,14 @@ def latest(snapshots: DataFrame) -> DataFrame:
 
 
 def matches(snapshots: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each ref with the number of ids that it is a prefix of, its status, and the id if it is one.
+    """Each distinct ref with the number of ids that it is a prefix of, its status, and the id if it is one.
 
-    refs is a small list of what users typed. The ids are probed once, with counts and one id.
+    An equality join on the ids' prefixes. Null refs and null ids match nothing; an empty ref
+    is a prefix of every id.
     """
-    some = snapshots.select("id")
-    hit = refs.join(some, F.col("id").startswith(F.col("ref")), "left")
-    counted = hit.groupBy("ref").agg(F.count("id").alias("n"), F.min("id").alias("id"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("id")), lambda n: F.substring("id", F.lit(1), n))
+    every = snapshots.where(F.col("id").isNotNull()).select("id", F.explode(prefixes).alias("ref"))
+    counted = refs.select("ref").distinct().join(every, "ref", "left").groupBy("ref").agg(F.count("id").alias("n"), F.min("id").alias("id"))
     status = F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").otherwise("ok")
     return counted.select("ref", "n", status.alias("status"), F.when(F.col("n") == 1, F.col("id")).alias("id"))
 
@@ -45,5 +50,5 @@ def resolve(snapshots: DataFrame, ref: str) -> str:
 
 
 def forget(snapshots: DataFrame, ids: DataFrame) -> DataFrame:
-    """snapshots without those in ids. Nothing else is removed."""
+    """snapshots without those in ids. Nothing else is removed; a null id removes nothing."""
     return snapshots.join(ids.select("id"), "id", "left_anti")

@@ -113,10 +113,9 @@ def dedup_hits(spark, sf_dir):
 def fresh_chunks(spark, sf_dir):
     """What the last run would store if all earlier ones were indexed."""
     own = whole(spark, sf_dir)
-    last = own.agg(F.max("source").alias("last"))
-    marked = own.join(F.broadcast(last), F.lit(True))  # one row
-    new = marked.where(F.col("source") == F.col("last")).select("chunk_id", "doc_id", "length")
-    return index.fresh(new, marked.where(F.col("source") < F.col("last")).select("chunk_id").distinct(), ["doc_id"])
+    last = F.lit(own.agg(F.max("source")).first()[0])
+    new = own.where(F.col("source") == last).select("chunk_id", "doc_id", "length")
+    return index.fresh(new, own.where(F.col("source") < last).select("chunk_id").distinct(), ["doc_id"])
 
 
 def chunk_offsets(spark, sf_dir):
@@ -192,6 +191,20 @@ def reachable_ids(spark, sf_dir):
     return tree.reachable(entries, top)
 
 
+def _damaged(spark, sf_dir):
+    """The tree's entries with nodes lost (ids that end in 0 to 3) and broken (4 or 5), but for the root; and the root."""
+    nodes, root = tree.build(tree_entries(spark, sf_dir).drop("content"))
+    root = cut(root)
+    last, top = F.substring("node_id", -1, 1), F.col("node_id") == root.first().node_id
+    left = nodes.where(top | ~last.isin("0", "1", "2", "3")).withColumn("payload", F.when(~top & last.isin("4", "5"), F.lit('{"entries":')).otherwise(F.col("payload")))
+    return cut(tree.entries_of(left)), root
+
+
+def check_nodes(spark, sf_dir):
+    entries, root = _damaged(spark, sf_dir)
+    return tree.faults(entries, tree.reachable_nodes(entries, root))
+
+
 def snapshot_list(spark, sf_dir):
     return snapshots.listed(runs(spark, sf_dir))
 
@@ -267,8 +280,9 @@ def check_missing_packs(spark, sf_dir):
 
 
 def check_report(spark, sf_dir):
+    """With short packs, and with those whose id begins with 0 lost."""
     entries, kept = _kept_index(spark, sf_dir)
-    return verify.report(whole(spark, sf_dir), kept, _short(blobs_of(entries)))
+    return verify.report(whole(spark, sf_dir), kept, _short(blobs_of(entries)).where(~F.col("pack_id").startswith("0")))
 
 
 def aead_roundtrip(spark, sf_dir):
@@ -308,13 +322,28 @@ def deep_check(spark, sf_dir):
     return rows.select("chunk_id", "kind", verify.deep_status(F.col("blob"), key, F.col("chunk_id")).alias("status"))
 
 
-def rebuild_index(spark, sf_dir):
-    """Pack files are written as bytes and read back from their headers alone."""
+def _pack_files(spark, sf_dir):
+    """Where each chunk lies, with its pack's id as bytes tell, and the pack files (name, content)."""
     own = packed(spark, sf_dir).join(whole(spark, sf_dir).dropDuplicates(["chunk_id"]).select("chunk_id", F.col("content").alias("blob")), "chunk_id")
+    own = cut(own.select("pack_no", "offset", "length", "chunk_id", "blob"))
     entries = F.transform(F.sort_array(F.collect_list(F.struct("offset", "chunk_id", "blob"))), lambda x: F.struct(x["chunk_id"], x["blob"]))
     built = own.groupBy("pack_no").agg(entries.alias("e")).select("pack_no", source_files.pack_bytes(F.col("e")).alias("content"))
-    named = built.select(identity.pack_name(F.sha2("content", 256)).alias("name"), "content")
-    return source_files.pack_entries(named).select("chunk_id", "offset", "length", "status")
+    built = cut(built.withColumn("pack_id", F.sha2("content", 256)))
+    return own.drop("blob").join(built.select("pack_no", "pack_id"), "pack_no"), built.select(identity.pack_name(F.col("pack_id")).alias("name"), "content")
+
+
+def rebuild_index(spark, sf_dir):
+    """Pack files are written as bytes and read back from their headers alone."""
+    return source_files.pack_entries(_pack_files(spark, sf_dir)[1]).select("chunk_id", "offset", "length", "status")
+
+
+def range_reads(spark, sf_dir):
+    """Every chunk by its place in its pack file, and by one that ends beyond the file."""
+    at, packs = _pack_files(spark, sf_dir)
+    read = source_files.read_ranges(at.select("chunk_id", "pack_id", "offset", "length"), packs)
+    beyond = source_files.read_ranges(at.select("chunk_id", "pack_id", (F.col("offset") + 1_000_000_000).alias("offset"), "length"), packs)
+    both = read.select("chunk_id", "blob").join(beyond.select("chunk_id", F.col("blob").isNull().alias("beyond_is_null")), "chunk_id")
+    return both.select("chunk_id", identity.chunk_id(F.col("blob")).alias("read_id"), "beyond_is_null")
 
 
 def restore_file(spark, sf_dir):
@@ -332,9 +361,26 @@ def restore_tree(spark, sf_dir):
     return restore.reassemble(parts, ["path"], expected).select("path", F.col("content").cast("string").alias("content"), "status")
 
 
+def restore_report(spark, sf_dir):
+    """What a restore of the damaged tree would report, with chunks lost (ids that end in 6) and changed (7)."""
+    entries, root = _damaged(spark, sf_dir)
+    walked = cut(tree.walk(entries, root))
+    content = F.when(F.col("chunk_id").endswith("7"), F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    store = tree_entries(spark, sf_dir).where(F.col("content") != "").select(F.sha2("content", 256).alias("chunk_id"), "content").where(~F.col("chunk_id").endswith("6"))
+    store = store.dropDuplicates(["chunk_id"]).select("chunk_id", content.cast("binary").alias("data"))
+    parts = tree.file_chunks(walked).join(store, "chunk_id", "left").select("path", "seq", "data")
+    is_file = (F.col("status") == "OK") & (F.col("meta.type") == "file")
+    done = restore.reassemble(parts, ["path"], walked.where(is_file).select("path", "file_hash", F.size("chunks").alias("n_chunks")))
+    none = F.lit(None).cast("string").alias("warning")
+    rest = walked.where(~is_file).select("path", F.col("meta.type").alias("type"), F.lit(0).cast("long").alias("bytes"), "status", none)
+    return restore.report(done.select("path", F.lit("file").alias("type"), F.octet_length("content").cast("long").alias("bytes"), "status", none).unionByName(rest))
+
+
 def scan_report(spark, sf_dir):
+    """Documents as files; those in Spanish as links, and those under 100 characters as files that can't be read."""
     own = table(spark, sf_dir, "documents")
-    leaf = own.select(F.lit("file").alias("type"), F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("size"), F.when(F.col("text").isNull(), F.lit("null text")).alias("reason"))
+    kind, reason = F.when(F.col("lang") == "es", "symlink").otherwise("file"), F.when(F.coalesce("n_chars", F.lit(0)) < 100, F.lit("no permission"))
+    leaf = own.select(kind.alias("type"), F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("size"), reason.alias("reason"))
     dirs = own.select("source").distinct().select(F.lit("dir").alias("type"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("reason"))
     return source_files.report(leaf.unionAll(dirs))
 
@@ -344,14 +390,14 @@ def blob_names(spark, sf_dir):
     own = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1).alias("path"))
     base = F.regexp_extract("path", r"([^/]*)$", 1)
     pack = identity.pack_name(F.sha2("path", 256))
-    return own.select("page_id", identity.legal_blob_name(F.substring("path", 2, 1000)).alias("blob"), identity.legal_entry_name(base).alias("entry"), identity.pack_id_of(pack).alias("pack_id"), identity.pack_id_of(F.col("path")).isNull().alias("foreign"))
+    return own.select("page_id", identity.legal_blob_name(F.col("path").substr(F.lit(2), F.length("path"))).alias("blob"), identity.legal_entry_name(base).alias("entry"), identity.pack_id_of(pack).alias("pack_id"), identity.pack_id_of(F.col("path")).isNull().alias("foreign"))
 
 
 NAMES = """
 chunk_identity small_file_chunks cdc_chunks cdc_chunks_small dedup_report new_chunks_per_run dedup_hits fresh_chunks
 chunk_offsets file_hash pack_assignment pack_directory index_last_wins locate exclude_glob tree_nodes walk_paths
 navigate_path reachable_ids snapshot_list snapshot_latest resolve_prefix forget gc_live_dead gc_plan gc_orphans gc_stats
-check_missing check_orphans check_geometry check_missing_packs check_report aead_roundtrip frame_roundtrip deep_check
-rebuild_index restore_file restore_tree scan_report blob_names
+check_missing check_orphans check_geometry check_missing_packs check_report check_nodes aead_roundtrip frame_roundtrip deep_check
+rebuild_index range_reads restore_file restore_tree restore_report scan_report blob_names
 """.split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.chunking import AVERAGE, EASY, HARD, LEAST, MOST, gear
-from .catalog import FORGOTTEN, PACK_TARGET
+from .catalog import FORGOTTEN, PACK_TARGET, SMALL
 
 LOW48 = (1 << 48) - 1
 
@@ -30,6 +30,28 @@ chunks AS (
 """
 
 
+def _cdc_small() -> str:
+    """All documents by the small sizes: one step a chunk, whose bytes are folded one by one."""
+    p = SMALL
+    hit = f"((a.f * 2 + x.f) & {LOW48})"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, hx, n, list_transform(range(n), lambda i: CAST({[int(g) & LOW48 for g in gear()]} AS BIGINT[])[CAST('0x' || substr(hx, 2 * i + 1, 2) AS INT) + 1]) AS gs
+  FROM (SELECT doc_id, hex(encode(text)) AS hx, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents WHERE text <> '')),
+step(doc_id, seq, s, e) AS (
+  SELECT doc_id, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM d
+  UNION ALL
+  SELECT doc_id, seq + 1, t.e, CASE WHEN n - t.e <= {p.least} THEN n ELSE
+    (SELECT CASE WHEN r.cut >= 0 THEN r.cut ELSE least(n, t.e + {p.most}) END FROM (SELECT list_reduce(
+      list_prepend({{'f': CAST(0 AS BIGINT), 'i': t.e, 'cut': CAST(-1 AS BIGINT)}},
+        list_transform(range(t.e + {p.least}, least(n, t.e + {p.most})), lambda i: {{'f': gs[i + 1], 'i': i, 'cut': CAST(-1 AS BIGINT)}})),
+      lambda a, x: CASE WHEN a.cut >= 0 THEN a ELSE {{'f': {hit}, 'i': x.i, 'cut': CASE WHEN {hit} & (CASE WHEN x.i < t.e + least({p.average}, n - t.e) THEN {p.hard} ELSE {p.easy} END) = 0 THEN x.i + 1 ELSE -1 END}} END) AS r)) END
+  FROM step t JOIN d USING (doc_id) WHERE t.e < n)
+SELECT doc_id, CAST(seq AS INT) AS seq, s AS "offset", CAST(e - s AS INT) AS length, sha256(from_hex(substr(hx, 2 * s + 1, 2 * (e - s)))) AS chunk_id
+FROM step JOIN d USING (doc_id) WHERE seq >= 0
+"""
+
+
 WHOLE = """
 whole AS (SELECT doc_id, source, sha256(text) AS chunk_id, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents WHERE text <> '')"""
 PACKED = f"""
@@ -81,6 +103,12 @@ n2 AS (
   FROM region LEFT JOIN n1 USING (r_name) GROUP BY 1),
 n3 AS (SELECT '{"entries":[' || string_agg('{"meta":{"type":"dir"},"name":"' || r_name || '","tree":"' || sha256(p) || '"}', ',' ORDER BY r_name) || '],"v":1}' AS p FROM n2)
 """
+DAMAGED = """
+, judged AS (SELECT id, CASE WHEN right(id, 1) IN ('0', '1', '2', '3') THEN 'NODE_MISSING' WHEN right(id, 1) IN ('4', '5') THEN 'BAD_NODE' ELSE 'OK' END AS st
+  FROM (SELECT sha256(p) AS id FROM n1 UNION SELECT sha256(p) FROM n2)),
+regions AS (SELECT r_name, id, st FROM n2 JOIN judged ON id = sha256(p)),
+nations AS (SELECT n1.r_name, n_name, j.id, j.st FROM n1 JOIN judged j ON j.id = sha256(p) JOIN regions r ON r.r_name = n1.r_name WHERE r.st = 'OK')
+"""
 PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 
 ORACLES = {
@@ -88,6 +116,7 @@ ORACLES = {
     "small_file_chunks": f"""SELECT doc_id, CAST(0 AS INT) AS seq, CAST(0 AS BIGINT) AS "offset", CAST(octet_length(encode(text)) AS INT) AS length, sha256(text) AS chunk_id
         FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND {LEAST}""",
     "cdc_chunks": _cdc() + 'SELECT doc_id, seq, "offset", length, chunk_id FROM chunks',
+    "cdc_chunks_small": _cdc_small(),
     "dedup_report": _cdc() + """SELECT source, CAST(sum(n) AS BIGINT) AS chunks, count(*) AS unique_chunks, CAST(sum(n * length) AS BIGINT) AS bytes, CAST(sum(length) AS BIGINT) AS unique_bytes
         FROM (SELECT source, chunk_id, count(*) AS n, max(length) AS length FROM chunks GROUP BY 1, 2) GROUP BY 1""",
     "new_chunks_per_run": f"""WITH {WHOLE}, first AS (SELECT chunk_id, min(source) AS source, max(length) AS length FROM whole GROUP BY 1),
@@ -130,17 +159,26 @@ ORACLES = {
     "check_geometry": PACKED + 'SELECT l.chunk_id, l.pack_id, l."offset", l.length, s.size FROM located l JOIN short s USING (pack_id) WHERE "offset" + length > size',
     "check_missing_packs": PACKED + "SELECT pack_id, count(*) AS chunks FROM located WHERE pack_id NOT IN (SELECT pack_id FROM known) GROUP BY 1",
     "check_report": PACKED + """, c AS (SELECT (SELECT count(DISTINCT chunk_id) FROM whole) AS chunks_referenced, (SELECT count(DISTINCT chunk_id) FROM whole WHERE chunk_id NOT IN (SELECT chunk_id FROM kept)) AS chunks_missing,
-        (SELECT count(*) FROM kept) AS chunks_indexed, CAST(0 AS BIGINT) AS packs_missing, (SELECT count(*) FROM kept JOIN short USING (pack_id) WHERE "offset" + length > size) AS bad_geometry,
-        (SELECT count(*) FROM blobs WHERE pack_id NOT IN (SELECT pack_id FROM kept)) AS packs_orphaned)
+        (SELECT count(*) FROM kept) AS chunks_indexed, (SELECT count(DISTINCT pack_id) FROM kept WHERE pack_id LIKE '0%') AS packs_missing,
+        (SELECT count(*) FROM kept JOIN short USING (pack_id) WHERE "offset" + length > size AND pack_id NOT LIKE '0%') AS bad_geometry,
+        (SELECT count(*) FROM blobs WHERE pack_id NOT IN (SELECT pack_id FROM kept) AND pack_id NOT LIKE '0%') AS packs_orphaned)
         SELECT *, chunks_missing = 0 AND packs_missing = 0 AND bad_geometry = 0 AS ok FROM c""",
     "aead_roundtrip": f"WITH {WHOLE} SELECT doc_id, chunk_id, CAST(28 AS BIGINT) AS overhead, true AS other_aad_fails FROM whole",
     "frame_roundtrip": "SELECT doc_id, sha256(text) AS chunk_id, true AS bounded FROM documents",
     "deep_check": f"""WITH {WHOLE} SELECT DISTINCT chunk_id, kind, status FROM whole, (VALUES ('good', 'OK'), ('other_aad', 'CORRUPT_AEAD'), ('truncated', 'CORRUPT_AEAD'),
         ('bad_frame', 'BAD_FRAME'), ('other_content', 'CORRUPT_HASH'), ('absent', 'BLOB_MISSING')) v(kind, status)""",
+    "check_nodes": TREE + DAMAGED + "SELECT DISTINCT id AS node_id, st AS status FROM (SELECT id, st FROM regions UNION ALL SELECT id, st FROM nations) WHERE st <> 'OK'",
+    "range_reads": f"WITH {WHOLE} SELECT DISTINCT chunk_id, chunk_id AS read_id, true AS beyond_is_null FROM whole",
+    "restore_report": TREE + DAMAGED + """, files AS (SELECT h, octet_length(encode(content)) AS n, right(h, 1) IN ('6', '7') AS bad FROM leaf JOIN nations USING (r_name, n_name) WHERE st = 'OK')
+        SELECT (SELECT count(*) FROM files WHERE NOT bad) AS files, (SELECT count(*) FROM regions) + (SELECT count(*) FROM nations) AS dirs, CAST(0 AS BIGINT) AS symlinks,
+        (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM files WHERE NOT bad) AS bytes,
+        (SELECT count(*) FROM files WHERE bad) + (SELECT count(*) FROM regions WHERE st <> 'OK') + (SELECT count(*) FROM nations WHERE st <> 'OK') AS failed, CAST(0 AS BIGINT) AS warnings""",
     "rebuild_index": PACKED + """SELECT chunk_id, "offset", length, 'OK' AS status FROM packed""",
     "restore_file": "SELECT conv_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, sha256(string_agg(text, '' ORDER BY turn)) AS file_hash, 'OK' AS status FROM conversations GROUP BY 1",
     "restore_tree": TREE + "SELECT r_name || '/' || n_name || '/' || name AS path, content, 'OK' AS status FROM leaf",
-    "scan_report": "SELECT count(*) AS files, (SELECT count(DISTINCT source) FROM documents) AS dirs, CAST(0 AS BIGINT) AS symlinks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes_read, CAST(0 AS BIGINT) AS skipped FROM documents",
+    "scan_report": """SELECT count(*) FILTER (ok AND lang <> 'es') AS files, (SELECT count(DISTINCT source) FROM documents) AS dirs, count(*) FILTER (ok AND lang = 'es') AS symlinks,
+        CAST(coalesce(sum(octet_length(encode(text))) FILTER (ok AND lang <> 'es'), 0) AS BIGINT) AS bytes_read, count(*) FILTER (NOT ok) AS skipped
+        FROM (SELECT text, coalesce(lang, '') AS lang, coalesce(n_chars, 0) >= 100 AS ok FROM documents)""",
     "blob_names": f"""SELECT page_id, b <> '' AND NOT starts_with(b, '/') AND NOT list_contains(string_split(b, '/'), '..') AS blob, e NOT IN ('', '.', '..') AS entry, sha256(path) AS pack_id, true AS "foreign"
-        FROM (SELECT page_id, path, substr(path, 2, 1000) AS b, regexp_extract(path, '([^/]*)$', 1) AS e FROM (SELECT page_id, {PATH} AS path FROM pages))""",
+        FROM (SELECT page_id, path, substr(path, 2) AS b, regexp_extract(path, '([^/]*)$', 1) AS e FROM (SELECT page_id, {PATH} AS path FROM pages))""",
 }

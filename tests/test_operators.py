@@ -36,6 +36,55 @@ def test_cuts_equal_the_plain_loop(data, p):
     assert cut_points(data, p) == plain_cuts(data, p)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=3000), st.sampled_from([EASY, Params(1, 2, 3), Params(64, 256, 1024, EASY.hard, EASY.easy)]), st.integers(1, 700))
+def test_streamed_chunks_equal_those_of_the_whole(data, p, size):
+    import io
+
+    pieces = [*chunking.stream(io.BytesIO(data).read, p, size)]
+    assert b"".join(pieces) == data and np.cumsum([len(x) for x in pieces]).tolist() == cut_points(data, p)
+
+
+def test_streaming_holds_little():
+    """200 MB go through in a fraction of that."""
+    import tracemalloc
+
+    left, block = [100], random.Random(1).randbytes(1 << 21)
+
+    def read(n):
+        left[0] -= 1
+        return block if left[0] >= 0 else b""
+
+    tracemalloc.start()
+    total = sum(len(x) for x in chunking.stream(read))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 100 << 21 and peak < 100 << 20
+
+
+def test_content_hash(spark):
+    import hashlib
+
+    rows = [(k, "x" if k % 2 else None, n, None if n == 3 else bytes([k or 0, n % 256]) * (n % 7)) for k in [1, 2, None] for n in range(2000)] + [(9, "x", 0, None)]
+    got = {(r.k, r.s): r.file_hash for r in chunking.content_hash(spark.createDataFrame(random.Random(1).sample(rows[:4000], 4000) + rows[6000:], "k int, s string, n int, d binary"), ["k", "s"], "n", "d").collect()}
+    want = {}
+    for k, s, n, d in rows[:4000] + rows[6000:]:
+        want.setdefault((k, s), hashlib.sha256()).update(d or b"")
+    assert got == {k: h.hexdigest() for k, h in want.items()}
+    assert chunking.content_hash(spark.createDataFrame([], "k int, n int, d binary"), ["k"], "n", "d").count() == 0
+
+
+def test_no_local_checkpoints_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cairnlake.operators.state import cut
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cut(SimpleNamespace(sparkSession=session))
+
+
 def test_cuts_at_full_size():
     sizes = lambda d: np.diff([0, *cut_points(d)]).tolist()
     assert sizes(b"") == [] and sizes(b"x") == [1] and sizes(bytes(16384)) == [16384] and sizes(bytes(16385)) == [16385]
@@ -117,6 +166,9 @@ def test_snapshots(spark):
     rows = spark.createDataFrame([("aa11", 1.0), ("aa22", 3.0), ("bb33", 2.0)], "id string, created double")
     assert [r.id for r in snapshots.listed(rows).collect()] == ["aa11", "bb33", "aa22"]
     assert snapshots.resolve(rows, "latest") == "aa22" and snapshots.resolve(rows, "bb") == "bb33"
+    refs = spark.createDataFrame([("aa",), ("aa1",), ("",), ("aa11",), ("aa111",), (None,), ("aa",)], "ref string")
+    got = {r.ref: (r.n, r.status, r.id) for r in snapshots.matches(rows.unionAll(spark.createDataFrame([(None, 9.0)], rows.schema)), refs).collect()}
+    assert got == {"aa": (2, "ambiguous", None), "aa1": (1, "ok", "aa11"), "": (3, "ambiguous", None), "aa11": (1, "ok", "aa11"), "aa111": (0, "not_found", None), None: (0, "not_found", None)}
     for ref in ("aa", "zz"):
         with pytest.raises(snapshots.SnapshotError):
             snapshots.resolve(rows, ref)
@@ -182,8 +234,14 @@ def test_tree(spark):
         tree.navigate(read, top, "zero/x")
     with pytest.raises(ValueError):
         tree.navigate(read, top, "")
-    bad = spark.createDataFrame([("n", "{"), ("m", '{"entries":[],"v":9}'), ("o", '{"entries":[{"meta":{"type":"file"},"name":".."}],"v":1}')], "node_id string, payload string")
-    assert {(r.node_id, r.status) for r in tree.entries_of(bad).collect()} == {("n", "BAD_NODE"), ("m", "BAD_NODE"), ("o", "BAD_NODE")}
+    bad = spark.createDataFrame([("n", "{"), ("p", None), ("q", '{"entries":[null],"v":1}'), ("m", '{"entries":[],"v":9}'), ("o", '{"entries":[{"meta":{"type":"file"},"name":".."}],"v":1}')], "node_id string, payload string")
+    assert {(r.node_id, r.status) for r in tree.entries_of(bad).collect()} == {(k, "BAD_NODE") for k in "npqmo"}
+    odd = 'tab\t "quotes" back\\slash \x01 é 😀 \u2028'
+    nodes, root = tree.build(spark.createDataFrame([(odd, meta("file"), ["c"], "h")], entries.schema))
+    import json
+
+    assert json.loads(nodes.first().payload)["entries"][0]["name"] == odd
+    assert [r.path for r in tree.walk(tree.entries_of(nodes), root).collect()] == [odd]
     empty_nodes, empty_root = tree.build(entries.limit(0))
     assert empty_nodes.count() == empty_root.count() == 1
 
