@@ -61,14 +61,14 @@ def _windows(words: Column) -> Column:
     """A hash of every window of five words, by doubling: pairs, fours, then one more word."""
     n = F.size(words)
 
-    def five(h: Column) -> Column:
-        pairs = F.zip_with(h, F.slice(h, 2, n), lambda a, b: F.xxhash64(a, b))
-        fours = let(pairs, lambda p: F.zip_with(p, F.slice(p, 3, n), lambda a, b: F.xxhash64(a, b)))
-        fives = F.zip_with(fours, F.slice(h, 5, n), lambda a, b: F.xxhash64(a, b))
+    def five(pairs: Column) -> Column:
+        fours = F.zip_with(pairs, F.slice(pairs, 3, n), lambda a, b: F.xxhash64(a, b))
+        fives = F.zip_with(fours, F.slice(words, 5, n), lambda a, b: F.xxhash64(a, b))
         return F.slice(fives, 1, n - (WINDOW - 1))
 
     none = F.array().cast("array<bigint>")
-    return F.when(n < WINDOW, none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), five))
+    pairs = F.zip_with(words, F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
+    return F.when(n < WINDOW, none).otherwise(let(pairs, five))
 
 
 def _covered(windows: Column) -> Column:
@@ -106,7 +106,7 @@ def quality_columns(text: Column) -> Column:
                 F.size(own).cast("long").alias("n_lines"),
                 F.size(F.filter(words, lambda w: F.btrim(F.lower(w), F.lit(MARKS)).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
                 F.size(F.filter(own, lambda x: x.rlike(r"^\s*(?:[-*•]|\d+[.)])\s"))).cast("long").alias("n_bullet_lines"),
-                F.size(F.filter(own, lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
+                F.size(F.filter(own, lambda x: let(F.rtrim(x, F.lit(" \t\x0b\f\r")), lambda y: y.endswith("...") | y.endswith("…")))).cast("long").alias("n_ellipsis_lines"),
                 F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}[\p{Lu}\p{P}]+(?![^\x20\x09-\x0D])")).cast("long").alias("n_shout_words"),
             ),
         )
