@@ -102,22 +102,24 @@ class Kind:
     score: int
     context: str = "(?!)"  # alternatives of a pattern, in lower case, before or after the span
     adjacent: str = "(?!)"  # the same, right before the span
+    needs: str = "[0-9]"  # a shorter pattern, or plain text in FIXED, that every text with a match holds
     taken: Callable[[Column], Column] = _as_is
 
 
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
 _ALONE = r"(?<![A-Za-z0-9_]){}(?![A-Za-z0-9_])"
 BASE = (
-    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", _always, 90, "mail|contact"),
+    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", _always, 90, "mail|contact", needs="@"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip_ok, 60, "(^|[^a-z0-9])ip([^a-z0-9]|$)|address|host|server"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card_ok, 70, "card|visa|credit|payment|karte|carte|tarjeta"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_ok, 60, "phone|tel|mobile|call|fax"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_ok, 60, "phone|tel|mobile|call|fax", needs="+"),
 )
 ADDED = (
     Kind("iban", _ALONE.format(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"), _iban_ok, 80, "iban|account|bank|konto", taken=_iban_taken),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", _always, 30, "(^|[^a-z0-9])ssn([^a-z0-9]|$)|social security"),
-    Kind("credential", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16,128}+)(?![A-Za-z0-9])", _always, 20, adjacent=r"(password|passwd|token|secret|api[_ -]?key)[^A-Za-z0-9_]{0,4}$"),
+    Kind("credential", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16,128}+)(?![A-Za-z0-9])", _always, 20, adjacent=r"(password|passwd|token|secret|api[_ -]?key)[^A-Za-z0-9_]{0,4}$", needs="[0-9a-f]{16}|AKIA"),
 )
+FIXED = ("@", "+")
 KEY_SCORE = 90  # of a cloud access key, whatever stands around it
 KINDS = BASE + ADDED
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:int>>"
@@ -174,8 +176,15 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
 
 
 def pii_spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
-    """All spans of a text: start, kind, end (exclusive) and score, by start, then kind as listed. The base kinds come first in kinds."""
-    return F.sort_array(F.concat(*[_spans(text, k, kind) for k, kind in enumerate(kinds)]))
+    """All spans of a text: start, kind, end (exclusive) and score, by start, then kind as listed. The base kinds come first in kinds.
+
+    What a match can't do without is looked for first, once for all kinds that need the same.
+    """
+    found = []
+    for need in dict.fromkeys(kind.needs for kind in kinds):
+        own = F.concat(*[_spans(text, k, kind) for k, kind in enumerate(kinds) if kind.needs == need])
+        found.append(F.when(text.contains(need) if need in FIXED else text.rlike(need), own).otherwise(F.array().cast(SPAN)))
+    return F.sort_array(F.concat(*found))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
