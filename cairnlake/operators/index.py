@@ -2,6 +2,9 @@
 
 Sides are left to the optimizer: it broadcasts what it has measured to be small and shuffles
 what isn't, and skewed keys are split at run time. Only probed columns go into a join.
+
+Null ids match nothing: they are never had, always missing, located nowhere and removed by
+nothing; where ids are grouped, null is an id of its own. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ def locate(chunks: DataFrame, index: DataFrame) -> DataFrame:
 def fresh(chunks: DataFrame, index: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row of each chunk that the index lacks: what a put would store.
 
-    Copies are merged before the join. With order the first of them stays, else any.
+    Copies are merged before the join. With order the first of them stays, nulls before all, else any.
     """
     if order is None:
         return missing(chunks.dropDuplicates(["chunk_id"]), index)
@@ -54,15 +57,17 @@ def last_wins(entries: DataFrame, batch: str) -> DataFrame:
 
 
 def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without the chunks in ids."""
     return index.join(ids.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def clear(index: DataFrame) -> DataFrame:
+    """An empty index of the same columns."""
     return index.where(F.lit(False))
 
 
 def dedup_report(chunks: DataFrame, by: str) -> DataFrame:
-    """For each group: chunks, distinct chunks, bytes and distinct bytes."""
+    """For each group: chunks, distinct chunks, bytes and distinct bytes. A null group is one; null lengths count as nothing."""
     once = chunks.groupBy(by, "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.max("length").cast("long").alias("length"))
     return once.groupBy(by).agg(
         F.sum("n").cast("long").alias("chunks"),
@@ -73,7 +78,11 @@ def dedup_report(chunks: DataFrame, by: str) -> DataFrame:
 
 
 def new_per_run(chunks: DataFrame, run: str) -> DataFrame:
-    """For each run, in order, the chunks that no earlier run has stored, and their bytes."""
+    """For each run, in order, the chunks that no earlier run has stored, and their bytes.
+
+    Chunks of a null run come from nowhere: they belong to another run that has them, else to none.
+    """
+    chunks = chunks.where(F.col(run).isNotNull())
     first = chunks.groupBy("chunk_id").agg(F.min(run).alias(run), F.max("length").cast("long").alias("length"))
     own = first.groupBy(run).agg(F.count(F.lit(1)).alias("new_chunks"), F.sum("length").cast("long").alias("new_bytes"))
     every = chunks.select(run).distinct().join(own, run, "left")
@@ -81,6 +90,6 @@ def new_per_run(chunks: DataFrame, run: str) -> DataFrame:
 
 
 def running(chunks: DataFrame, run: str) -> DataFrame:
-    """new_per_run with the bytes stored so far; a row for each run."""
+    """new_per_run with the bytes stored so far. The window has one row for each run, and no more."""
     at = Window.orderBy(run).rowsBetween(Window.unboundedPreceding, 0)
     return new_per_run(chunks, run).withColumn("stored_bytes", F.sum("new_bytes").over(at))

@@ -78,6 +78,17 @@ def chunk_identity(spark, sf_dir):
     return files(spark, sf_dir).select("doc_id", identity.chunk_id(F.col("content")).alias("chunk_id"))
 
 
+def hex_ids(spark, sf_dir):
+    """Ids as raw bytes and back, and which strings are ids."""
+    own = files(spark, sf_dir).select("doc_id", "source", identity.chunk_id(F.col("content")).alias("chunk_id")).where(F.col("chunk_id").isNotNull())
+    raw = identity.from_hex(F.col("chunk_id"))
+    return own.select("doc_id", identity.to_hex(raw).alias("read_back"), F.octet_length(raw).cast("long").alias("bytes"), identity.is_hex_id(F.col("chunk_id")).alias("own"), identity.is_hex_id(F.upper("chunk_id")).alias("upper_case"), identity.is_hex_id(F.col("source")).alias("other"))
+
+
+def index_remove(spark, sf_dir):
+    return index.remove(located(spark, sf_dir), live(spark, sf_dir))
+
+
 def cdc(spark, sf_dir, params=chunking.Params()):
     return chunking.chunk(files(spark, sf_dir), params=params).select("doc_id", "source", "seq", "offset", "length", "chunk_id")
 
@@ -214,7 +225,7 @@ def snapshot_latest(spark, sf_dir):
 
 
 def resolve_prefix(spark, sf_dir):
-    refs = spark.range(16).select(F.lower(F.hex("id")).alias("ref"))
+    refs = spark.range(16).select(identity.to_hex(F.col("id")).alias("ref"))
     return snapshots.matches(runs(spark, sf_dir), refs)
 
 
@@ -394,8 +405,8 @@ def blob_names(spark, sf_dir):
 
 
 NAMES = """
-chunk_identity small_file_chunks cdc_chunks cdc_chunks_small dedup_report new_chunks_per_run dedup_hits fresh_chunks
-chunk_offsets file_hash pack_assignment pack_directory index_last_wins locate exclude_glob tree_nodes walk_paths
+chunk_identity hex_ids small_file_chunks cdc_chunks cdc_chunks_small dedup_report new_chunks_per_run dedup_hits fresh_chunks
+chunk_offsets file_hash pack_assignment pack_directory index_last_wins index_remove locate exclude_glob tree_nodes walk_paths
 navigate_path reachable_ids snapshot_list snapshot_latest resolve_prefix forget gc_live_dead gc_plan gc_orphans gc_stats
 check_missing check_orphans check_geometry check_missing_packs check_report check_nodes aead_roundtrip frame_roundtrip deep_check
 rebuild_index range_reads restore_file restore_tree restore_report scan_report blob_names

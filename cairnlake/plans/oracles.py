@@ -113,6 +113,9 @@ PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 
 ORACLES = {
     "chunk_identity": "SELECT doc_id, sha256(text) AS chunk_id FROM documents",
+    "hex_ids": """SELECT doc_id, lower(hex(unhex(sha256(text)))) AS read_back, CAST(octet_length(unhex(sha256(text))) AS BIGINT) AS bytes, regexp_full_match(sha256(text), '[0-9a-f]{64}') AS own,
+        regexp_full_match(upper(sha256(text)), '[0-9a-f]{64}') AS upper_case, regexp_full_match(coalesce(source, ''), '[0-9a-f]{64}') AS other FROM documents WHERE text IS NOT NULL""",
+    "index_remove": PACKED + "SELECT * FROM located WHERE chunk_id NOT IN (SELECT chunk_id FROM live)",
     "small_file_chunks": f"""SELECT doc_id, CAST(0 AS INT) AS seq, CAST(0 AS BIGINT) AS "offset", CAST(octet_length(encode(text)) AS INT) AS length, sha256(text) AS chunk_id
         FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND {LEAST}""",
     "cdc_chunks": _cdc() + 'SELECT doc_id, seq, "offset", length, chunk_id FROM chunks',

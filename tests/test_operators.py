@@ -162,6 +162,26 @@ def test_index(spark):
     assert {r.chunk_id for r in index.has(new, rows).collect()} == {"a"}
 
 
+def test_index_of_nulls(spark):
+    rows = spark.createDataFrame([("a", 5, "x"), ("a", 5, None), (None, 3, None), ("b", None, "x"), ("b", 2, "y")], "chunk_id string, length long, run string")
+    got = {r.run: (r.chunks, r.unique_chunks, r.bytes, r.unique_bytes) for r in index.dedup_report(rows, "run").collect()}
+    assert got == {"x": (2, 2, 5, 5), None: (2, 2, 8, 8), "y": (1, 1, 2, 2)}
+    runs = index.running(rows, "run").orderBy("run").collect()
+    assert [(r.run, r.new_chunks, r.new_bytes, r.stored_bytes) for r in runs] == [("x", 2, 7, 7), ("y", 0, 0, 7)]
+    assert index.dedup_report(rows.limit(0), "run").count() == index.running(rows.limit(0), "run").count() == 0
+    idx = spark.createDataFrame([("a", "p", 5, 9), (None, "p", 0, 1)], "chunk_id string, pack_id string, offset long, length long")
+    probe = spark.createDataFrame([("a",), (None,), ("z",)], "chunk_id string")
+    assert [r.chunk_id for r in index.has(probe, idx).collect()] == ["a"]
+    assert {r.chunk_id for r in index.missing(probe, idx).collect()} == {None, "z"}
+    assert {r.chunk_id: r.pack_id for r in index.locate(probe, idx).collect()} == {"a": "p", None: None, "z": None}
+    assert [r.chunk_id for r in index.remove(idx, probe).collect()] == [None]
+    blobs = spark.createDataFrame([("p", None)], "pack_id string, size long")
+    assert verify.bad_geometry(idx, blobs).count() == 0 and verify.missing_packs(idx, blobs.limit(0)).first().chunks == 2
+    assert {r.chunk_id for r in verify.missing_chunks(probe, idx).collect()} == {None, "z"}
+    empty = verify.report(probe.limit(0), idx.limit(0), blobs.limit(0)).first()
+    assert empty.ok and empty.chunks_indexed == 0
+
+
 def test_snapshots(spark):
     rows = spark.createDataFrame([("aa11", 1.0), ("aa22", 3.0), ("bb33", 2.0)], "id string, created double")
     assert [r.id for r in snapshots.listed(rows).collect()] == ["aa11", "bb33", "aa22"]
