@@ -191,7 +191,7 @@ def seed_map(items: DataFrame) -> np.ndarray:
     # Buckets of positive numbers count from 1, and so do their first numbers.
     rows = rows.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
     out = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         at = (r.row - 1) * ROW_BITS // 8
         out[at : at + ROW_BITS // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     return out

@@ -145,16 +145,19 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base_rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """docs with the counts, base_failed, kept, and the failed measures of each document."""
-    measured = without(docs, *COUNTS, "base_failed", "kept", "failed", "__q").withColumn("__q", quality_columns(F.col("text")))
-    q = F.col("__q")
-    base, more = failures(q, base_rules), failures(q, rules)
-    return measured.select(
-        *[f"`{c}`" for c in measured.columns if c != "__q"],
-        *[q[c].alias(c) for c in COUNTS],
-        (F.size(base) > 0).alias("base_failed"),
-        ((F.size(base) == 0) & (F.size(more) == 0)).alias("kept"),
-        F.array_distinct(F.concat(base, more)).alias("failed"),
-    )
+    def verdict(q: Column) -> Column:
+        base, more = failures(q, base_rules), failures(q, rules)
+        return F.struct(
+            *[q[c].alias(c) for c in COUNTS],
+            (F.size(base) > 0).alias("base_failed"),
+            ((F.size(base) == 0) & (F.size(more) == 0)).alias("kept"),
+            F.array_distinct(F.concat(base, more)).alias("failed"),
+        )
+
+    # One column holds all, so that a filter on any of it measures a text once more at most.
+    outputs = (*COUNTS, "base_failed", "kept", "failed")
+    measured = without(docs, *outputs, "__q").withColumn("__q", let(quality_columns(F.col("text")), verdict))
+    return measured.select(*[f"`{c}`" for c in measured.columns if c != "__q"], *[F.col("__q")[c].alias(c) for c in outputs])
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
