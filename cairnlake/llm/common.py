@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,18 @@ def words_of(text: Column) -> Column:
 
 def hex_sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, none of them 0; those met lately are kept, MOST at a time."""
+
+    MOST = 400_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        out = self[word] = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little") or 1
+        return out
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

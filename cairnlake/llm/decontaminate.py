@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workers import let_workers_import
-from .common import cut, joined_anew, table
+from .common import WordHashes, cut, joined_anew, table
 
 LEAST, COVERAGE = 5, 0.6
 #: Bits of the map of seeds, and of one row of it.
@@ -122,25 +121,6 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[i
         size = max(least, size // 2)
 
 
-class Words:
-    """Texts as arrays of 64-bit word hashes, none of them 0."""
-
-    MOST = 400_000
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def _number(self, word: str) -> int:
-        if len(self.known) >= self.MOST:
-            self.known.clear()
-        out = self.known[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
-        return out
-
-    def of(self, text: str | None) -> np.ndarray:
-        known = self.known
-        return np.array([known[w] if w in known else self._number(w) for w in words_of(text)], np.uint64)
-
-
 def seeds_of(ids: np.ndarray, least: int) -> np.ndarray:
     """The hash of every window of `least` words."""
     n = max(len(ids) - least + 1, 0)
@@ -173,9 +153,9 @@ def items_of(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """item (a number for each row), item_id, words and places (the seed of each window) of items that are long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = WordHashes()
         for batch in batches:
-            own = [words.of(t) for t in batch.column("text").to_pylist()]
+            own = [words.of(words_of(t)) for t in batch.column("text").to_pylist()]
             found = [seeds_of(w, least).view(np.int64) for w in own]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([w.tobytes() for w in own], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["item_id", "words", "places"])
 
@@ -202,11 +182,11 @@ def suspects(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(seed_map(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = Words(), sent.value
+        words, bits = WordHashes(), sent.value
         for batch in batches:
             rows, runs, seeds = [], [], []
             for n, text in enumerate(batch.column("text").to_pylist()):
-                ids = words.of(text)
+                ids = words.of(words_of(text))
                 every = seeds_of(ids, least)
                 place = place_of(every)
                 hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
