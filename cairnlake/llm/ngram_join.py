@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workers import let_workers_import
-from .common import cut, joined_anew, table
+from .common import WordHashes, cut, joined_anew, table
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 80
 BLOCK, BLOCK_BYTES, SEED = 256, 4 << 20, 7
@@ -66,23 +66,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """The n-gram sets of texts, as sorted arrays of 64-bit hashes."""
 
-    MOST = 400_000
-
     def __init__(self, n: int = N):
-        self.n, self.known = n, {}
-
-    def _number(self, word: str) -> int:
-        if len(self.known) >= self.MOST:
-            self.known.clear()
-        out = self.known[word] = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
-        return out
+        self.n, self.known = n, WordHashes()
 
     def of(self, text: str | None) -> np.ndarray:
         words = _WORDS.findall(text or "")
         if not words:
             return np.zeros(0, np.uint64)
-        known = self.known
-        ids = np.array([known[w] if w in known else self._number(w) for w in words], np.uint64)
+        ids = self.known.of(words)
         n = min(self.n, len(ids))
         with np.errstate(over="ignore"):
             out = np.full(len(ids) - n + 1, n, np.uint64)
