@@ -14,6 +14,7 @@ from ..functions import codec, identity
 from ..operators import chunking, gc, index, packing, restore, snapshots, tree, verify
 from ..operators.state import cut
 from ..sources import files as source_files
+from .cycles import backup_snapshots, prune_cycle, restore_cycle, restore_damaged, restore_path, scan_folder  # noqa: F401
 
 #: Small packs, so that small tables fill many.
 PACK_TARGET = 20_000
@@ -410,5 +411,6 @@ chunk_offsets file_hash pack_assignment pack_directory index_last_wins index_rem
 navigate_path reachable_ids snapshot_list snapshot_latest resolve_prefix forget gc_live_dead gc_plan gc_orphans gc_stats
 check_missing check_orphans check_geometry check_missing_packs check_report check_nodes aead_roundtrip frame_roundtrip deep_check
 rebuild_index range_reads restore_file restore_tree restore_report scan_report blob_names
+backup_snapshots restore_cycle restore_path restore_damaged prune_cycle scan_folder
 """.split()
 QUERIES = {name: globals()[name] for name in NAMES}

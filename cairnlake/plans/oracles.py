@@ -109,6 +109,14 @@ DAMAGED = """
 regions AS (SELECT r_name, id, st FROM n2 JOIN judged ON id = sha256(p)),
 nations AS (SELECT n1.r_name, n_name, j.id, j.st FROM n1 JOIN judged j ON j.id = sha256(p) JOIN regions r ON r.r_name = n1.r_name WHERE r.st = 'OK')
 """
+#: After _cdc(): the documents as files, their folders, and the last source.
+FILES = """
+, f AS (SELECT doc_id, source, concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS t, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM documents),
+dirs AS (SELECT DISTINCT source AS path FROM documents WHERE source IS NOT NULL),
+newest AS (SELECT max(source) AS s FROM documents),
+kept_chunks AS (SELECT DISTINCT chunk_id FROM chunks WHERE source < (FROM newest)),
+more_chunks AS (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id NOT IN (FROM kept_chunks))
+"""
 PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 
 ORACLES = {
@@ -184,4 +192,20 @@ ORACLES = {
         FROM (SELECT text, coalesce(lang, '') AS lang, coalesce(n_chars, 0) >= 100 AS ok FROM documents)""",
     "blob_names": f"""SELECT page_id, b <> '' AND NOT starts_with(b, '/') AND NOT list_contains(string_split(b, '/'), '..') AS blob, e NOT IN ('', '.', '..') AS entry, sha256(path) AS pack_id, true AS "foreign"
         FROM (SELECT page_id, path, substr(path, 2) AS b, regexp_extract(path, '([^/]*)$', 1) AS e FROM (SELECT page_id, {PATH} AS path FROM pages))""",
+    "backup_snapshots": _cdc() + FILES + """SELECT 1 AS n, 'OK' AS status, count(*) AS files, (SELECT count(*) FROM dirs WHERE path < (FROM newest)) AS dirs, CAST(0 AS BIGINT) AS symlinks,
+        CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_read, (SELECT count(*) FROM kept_chunks) AS chunks_new, CAST(0 AS BIGINT) AS skipped FROM f WHERE source < (FROM newest)
+        UNION ALL SELECT 2, 'OK', count(*), (SELECT count(*) FROM dirs), 0, CAST(coalesce(sum(size), 0) AS BIGINT), (SELECT count(*) FROM more_chunks), 0 FROM f""",
+    "restore_cycle": _cdc() + FILES + """SELECT path, CAST(CASE WHEN source IS NULL THEN 1 ELSE 2 END AS INT) AS depth, 'file' AS type, size, sha256(t) AS file_hash, size AS bytes, 'OK' AS status FROM f
+        UNION ALL SELECT path, 1, 'dir', 0, NULL, 0, 'OK' FROM dirs""",
+    "restore_path": _cdc() + FILES + "SELECT path, 'file' AS type, size AS bytes, 'OK' AS status FROM f WHERE source = (FROM newest) UNION ALL SELECT s, 'dir', 0, 'OK' FROM newest",
+    "restore_damaged": _cdc() + FILES + """, faulty AS (SELECT doc_id, min_by(CASE WHEN chunk_id LIKE '0%' THEN 'CHUNK_MISSING' ELSE 'CORRUPT_AEAD' END, seq) AS st FROM chunks WHERE left(chunk_id, 1) IN ('0', '1') GROUP BY 1)
+        SELECT path, 'file' AS type, CASE WHEN st IS NULL THEN size ELSE 0 END AS bytes, coalesce(st, 'OK') AS status FROM f LEFT JOIN faulty USING (doc_id) UNION ALL SELECT path, 'dir', 0, 'OK' FROM dirs""",
+    "prune_cycle": _cdc() + FILES + """, k AS (SELECT count(*) AS n FROM kept_chunks)
+        SELECT n AS chunks_live, (SELECT count(*) FROM more_chunks) AS chunks_dead, CAST(0 AS BIGINT) AS packs_defer, CAST(0 AS BIGINT) AS packs_adopt, CAST(0 AS BIGINT) AS packs_delete_orphan, n AS chunks_referenced,
+        CAST(0 AS BIGINT) AS chunks_missing, n AS chunks_indexed, CAST(0 AS BIGINT) AS packs_orphaned, 1 + (SELECT count(*) FROM dirs WHERE path < (FROM newest)) AS nodes_checked, CAST(0 AS BIGINT) AS chunks_corrupt,
+        true AS ok, CAST(1 AS BIGINT) AS snapshots, n AS rebuilt FROM k""",
+    "scan_folder": _cdc() + FILES + """, wanted AS (SELECT * FROM f WHERE coalesce(source, '') <> 'src1' AND NOT ends_with(coalesce(source, ''), '7') AND NOT ends_with(path, '7'))
+        SELECT path, 'file' AS type, CAST(NULL AS INT) AS seq, size, sha256(t) AS id, CAST(NULL AS VARCHAR) AS reason FROM wanted
+        UNION ALL SELECT path, 'piece', seq, length, chunk_id, NULL FROM wanted JOIN chunks USING (doc_id)
+        UNION ALL SELECT path, 'dir', NULL, 0, NULL, NULL FROM dirs WHERE path <> 'src1' AND NOT ends_with(path, '7')""",
 }
