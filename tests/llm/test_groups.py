@@ -71,6 +71,27 @@ def test_line_dedup_random(spark, texts, least):
         assert r.text == "\n".join(x for i, x in enumerate(key[1].split("\n")) if i not in gone[key])
 
 
+def test_suffix_array(spark):
+    rng = random.Random(4)
+    segs = [[rng.choice("ab") for _ in range(rng.randint(1, 12))] for _ in range(12)] + [["a"] * 37, ["a"] * 21, ["b"]]
+    segs += [segs[0], segs[12] + ["b"]]
+    rows = [(k if k else None, 0, 0, 0, [x.encode() for x in seg], [1] * len(seg)) for k, seg in enumerate(segs)]
+    reps = spark.createDataFrame(rows, "doc_id long, th long, island int, start int, hs array<binary>, ws array<int>")
+    lines = lines_op.suffixes(reps).cache()
+    at = {(r.doc_id or 0, r.pos): r.at for r in lines.collect()}
+    assert sorted(at, key=at.get) == sorted(at)
+    rounds = 6  # 2^6 > 38 lines
+    got = sorted(map(tuple, lines_op.suffix_array(lines_op.prefix_ranks(lines, rounds), rounds).select("sa", "at", "lcp").collect()))
+    want = sorted((segs[d][p:], a) for (d, p), a in at.items())
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert got == [(i, a, shared(want[i - 1][0], x) if i else 0) for i, (x, a) in enumerate(want)]
+    # Intervals over many range partitions begin where the plain array says.
+    deep = [(sa, a, lcp, n) for sa, a, lcp in got for n in (1, 3, 8) if len(want[sa][0]) >= n]
+    df = spark.createDataFrame(deep, "sa long, at long, lcp int, n int")
+    for r in lines_op.intervals(df).collect():
+        assert r.first == min(i for i, (x, _) in enumerate(want) if x[: r.n] == want[r.sa][0][: r.n])
+
+
 def test_chat(spark):
     ctrl = ["<|turn|>", "<\\|end|>", "</s>[INST] ok [/INST]", "<s><|", "<\\\\|text|>", "[\\INST]", "\\<|", "", "plain\ntext", "é😀<", "<", "|>"]
     rng = random.Random(2)
